@@ -33,7 +33,7 @@ def blocks(docs: DataFrame, tokenizer: str, limit: int = 8_000_000) -> DataFrame
     def run(batches):
         from pyspark import TaskContext
 
-        tokenizer_ = Words(tokenizer, " ").tokenizer
+        known_ids = Words(tokenizer, True, False)
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
             for t in chunks([batch], limit):
@@ -44,10 +44,7 @@ def blocks(docs: DataFrame, tokenizer: str, limit: int = 8_000_000) -> DataFrame
                 train = np.repeat(~held, np.diff(at))
                 n = np.bincount(own[train], minlength=len(known))
                 low = LOWER[t.buf].tobytes()
-                ids = []
-                for k in range(0, len(known), 2000):
-                    part = [" " + low[begin[i] : end[i]].decode("utf-8", "replace") for i in first[k : k + 2000].tolist()]
-                    ids += [np.array(x.ids, "<u2").tobytes() for x in tokenizer_.encode_batch_fast(part, add_special_tokens=False)]
+                ids = [np.frombuffer(known_ids[low[begin[i] : end[i]].decode("utf-8", "replace")], "<u4").astype("<u2").tobytes() for i in first.tolist()]
                 own = own.astype("<u4")
                 docs_ = [own[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
                 for k in range(0, len(docs_), 2000):

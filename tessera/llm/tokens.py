@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words that a process keeps at most; beyond it the cache starts anew.
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
 
 
 def vocabulary(name: str) -> str:
@@ -31,25 +31,58 @@ def _load(path: str):
     return t
 
 
-class Words:
-    """Ids of words, encoded in batches."""
-
-    def __init__(self, path: str, prefix: str = ""):
-        self.tokenizer, self.prefix, self.known = _load(path), prefix, {}
+#: Latin letters, then ASCII signs other than an apostrophe: both vocabularies cut such a word between the two, and nowhere else.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+#: The characters that stand for bytes beyond ASCII in byte-level vocabularies: 0x80-0xA0 and 0xAD are moved up, others stand for themselves.
+_SHOWN = {b: chr(b) for b in range(0xA1, 0x100) if b != 0xAD} | {b: chr(0x100 + 33 + i) for i, b in enumerate([0x7F, *range(0x80, 0xA1), 0xAD])}
+
+
+class Words(dict):
+    """The ids (bytes of little-endian u32) of a word, found when first asked for.
+
+    A simple word goes straight to the vocabulary's model, in the pieces that the tokenizer would cut it into; any other goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, blank: bool, lower: bool):
+        super().__init__()
+        self.tokenizer, self.blank, self.lower = _load(path), " " if blank else "", lower
+        self.model, self.pieces = self.tokenizer.model, {}
+
+    def piece(self, x: str) -> bytes:
+        got = self.pieces.get(x)
+        if got is None:
+            shown = (x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN)).replace("\n", "\u010a")
+            got = np.array([t.id for t in self.model.tokenize(shown.replace(" ", "\u0120"))], "<u4").tobytes()
+            if len(self.pieces) >= MOST_WORDS:
+                self.pieces.clear()
+            self.pieces[x] = got
+        return got
+
+    def simple(self, word: str, blank: str) -> bytes | None:
+        m = _SIMPLE.fullmatch(word)
+        if not m or not word:
+            return None
+        letters, signs = m.groups()
+        if not letters:
+            return self.piece(blank + signs)
+        got = self.piece(blank + (letters.lower() if self.lower else letters))
+        return got + self.piece(signs) if signs else got
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.simple(word, self.blank)
+        if got is None and "\n" in word and not self.lower:  # single line feeds between simple words are tokens of their own
+            lines = [self.simple(x, "" if i else self.blank) for i, x in enumerate(word.split("\n"))]
+            got = None if None in lines else self.piece("\n").join(lines)
+        if got is None:
+            got = np.array(self.tokenizer.encode(self.blank + word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = got
+        return got
 
     def join(self, words: list[str]) -> np.ndarray:
         """The ids of the words, one after the other."""
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > MOST_WORDS:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 1000):
-                part = new[k : k + 1000]
-                for w, x in zip(part, self.tokenizer.encode_batch_fast([self.prefix + w for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(x.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 #: White space beside a blank: there the byte-level rules look at more than the next character.
@@ -59,7 +92,7 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 def byte_bpe(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     """An encoder for the byte-level vocabulary; null is an empty text. A single blank between two other characters always begins a token."""
-    spaced, first = Words(path, " "), Words(path)
+    spaced, first = Words(path, True, False), Words(path, False, False)
 
     def encode(texts):
         out = []
@@ -80,5 +113,5 @@ _BLANKS = re.compile(r"[^ \n\t\r]+")
 
 def word_bpe(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     """An encoder for the vocabulary with word ends, which drops white space; null is an empty text."""
-    words = Words(path)
+    words = Words(path, False, True)
     return lambda texts: [words.join(_BLANKS.findall(x or "")) for x in texts]

@@ -3,7 +3,7 @@
 A file serves access (the id at a place), count (how often an id occurs before a place) and select (the place of its k-th occurrence) without
 being unpacked; reading it whole takes one pass per plane. Layout, little-endian: magic b"WMX1", planes u32, ids u64, documents u64; doc_id i64
 and count u32 of each document; then for each plane (most significant bit first) the zeros u64, the rank directory (u64 ones before each block of
-512 bits) and the bits (8 to a byte, first bit highest). The whole is compressed by zlib (level 1).
+512 bits) and the bits (8 to a byte, first bit highest). The whole is compressed by Zstandard (level 1).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,14 +40,14 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, planes: int
         rank = np.concatenate((np.zeros(1, np.uint64), np.cumsum(per)))
         out += [struct.pack("<Q", len(v) - int(rank[-1])), rank.astype("<u8").tobytes(), padded.tobytes()]
         v = np.concatenate((v[~mask], v[mask]))
-    return zlib.compress(b"".join(out), 1)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 class Matrix:
     """A file's content, opened."""
 
     def __init__(self, file: bytes):
-        raw = zlib.decompress(file)
+        raw = zstandard.ZstdDecompressor().decompress(file)
         if raw[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
         self.planes, self.n, docs = struct.unpack_from("<IQQ", raw, 4)
