@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .flat import LOWER, NOT_SPACE, chunks, words
-from .tokens import Words
+from .tokens import words as word_ids
 
 #: Width of vectors; classes of context and of output; length of a window and how many subwords it scores.
 DIM, INPUTS, OUTPUTS, SPAN, STRIDE = 16, 2048, 256, 32, 24
@@ -33,7 +33,7 @@ def blocks(docs: DataFrame, tokenizer: str, limit: int = 8_000_000) -> DataFrame
     def run(batches):
         from pyspark import TaskContext
 
-        known_ids = Words(tokenizer, True, False)
+        known_ids = word_ids(tokenizer, True, False)
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
             for t in chunks([batch], limit):

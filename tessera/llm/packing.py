@@ -96,15 +96,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """doc_id, piece, start, length, ids_crc32: each document's ids (then end_id) cut into pieces; the first may be shorter. A null text is an empty one, so has the end id alone."""
 
     def cut(batches):
-        encode = byte_bpe(tokenizer)
+        encode, end = byte_bpe(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out = []
-            for doc_id, tokens in zip(ids, encode(batch.column("text").to_pylist()), strict=True):
-                tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
-                first = len(tokens) % capacity or capacity
-                at = [0, *range(first, len(tokens) + 1, capacity)]
-                out += [(doc_id, k, a, b - a, zlib.crc32(tokens[a:b].tobytes())) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+            for doc_id, text in zip(ids, batch.column("text"), strict=True):
+                tokens = encode(text.as_py()) + end
+                n = len(tokens) // 4
+                at = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                out += [(doc_id, k, a, b - a, zlib.crc32(tokens[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

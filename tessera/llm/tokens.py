@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 #: Words that a process keeps at most; beyond it the cache starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 700_000
 
 
 def vocabulary(name: str) -> str:
@@ -31,8 +30,8 @@ def _load(path: str):
     return t
 
 
-#: Latin letters, then ASCII signs other than an apostrophe: both vocabularies cut such a word between the two, and nowhere else.
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+#: ASCII signs other than an apostrophe. Both vocabularies cut a word of Latin letters and such signs between the two, and nowhere else.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The characters that stand for bytes beyond ASCII in byte-level vocabularies: 0x80-0xA0 and 0xAD are moved up, others stand for themselves.
 _SHOWN = {b: chr(b) for b in range(0xA1, 0x100) if b != 0xAD} | {b: chr(0x100 + 33 + i) for i, b in enumerate([0x7F, *range(0x80, 0xA1), 0xAD])}
 
@@ -46,72 +45,101 @@ class Words(dict):
     def __init__(self, path: str, blank: bool, lower: bool):
         super().__init__()
         self.tokenizer, self.blank, self.lower = _load(path), " " if blank else "", lower
-        self.model, self.pieces = self.tokenizer.model, {}
+        self.shown_blank = "\u0120" if blank else ""
+        self.model, self.signs = self.tokenizer.model, {}
+
+    def ids(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def piece(self, x: str) -> bytes:
-        got = self.pieces.get(x)
+    def sign(self, x: str) -> bytes:
+        got = self.signs.get(x)
         if got is None:
-            shown = (x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN)).replace("\n", "\u010a")
-            got = np.array([t.id for t in self.model.tokenize(shown.replace(" ", "\u0120"))], "<u4").tobytes()
-            if len(self.pieces) >= MOST_WORDS:
-                self.pieces.clear()
-            self.pieces[x] = got
+            if len(self.signs) >= MOST_WORDS:
+                self.signs.clear()
+            got = self.signs[x] = self.ids(x)
         return got
 
-    def simple(self, word: str, blank: str) -> bytes | None:
-        m = _SIMPLE.fullmatch(word)
-        if not m or not word:
-            return None
-        letters, signs = m.groups()
+    def simple(self, word: str) -> bytes | None:
+        """The ids of a word of Latin letters, then signs; none for any other."""
+        letters = word.rstrip(_SIGNS)
         if not letters:
-            return self.piece(blank + signs)
-        got = self.piece(blank + (letters.lower() if self.lower else letters))
-        return got + self.piece(signs) if signs else got
+            return self.sign(self.shown_blank + word) if word else None
+        if not letters.isalpha():
+            return None
+        if letters.isascii():
+            shown = letters
+        else:
+            try:
+                letters.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+            shown = letters.encode().decode("latin-1").translate(_SHOWN)
+        if len(letters) < len(word):
+            return self[letters] + self.sign(word[len(letters) :])
+        if self.lower:
+            low = letters.lower()
+            if low != letters:
+                return self[low]
+        return self.ids(self.shown_blank + shown)
 
     def __missing__(self, word: str) -> bytes:
-        got = self.simple(word, self.blank)
-        if got is None and "\n" in word and not self.lower:  # single line feeds between simple words are tokens of their own
-            lines = [self.simple(x, "" if i else self.blank) for i, x in enumerate(word.split("\n"))]
-            got = None if None in lines else self.piece("\n").join(lines)
+        got = self.simple(word)
         if got is None:
-            got = np.array(self.tokenizer.encode(self.blank + word, add_special_tokens=False).ids, "<u4").tobytes()
+            got = array("I", self.tokenizer.encode(self.blank + word, add_special_tokens=False).ids).tobytes()
         if len(self) >= MOST_WORDS:
             self.clear()
         self[word] = got
         return got
 
-    def join(self, words: list[str]) -> np.ndarray:
+    def join(self, words: list[str]) -> bytes:
         """The ids of the words, one after the other."""
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+        return b"".join(map(self.__getitem__, words))
+
 
+def words(path: str, blank: bool, lower: bool) -> Words:
+    """The process's own Words for these: a Python worker keeps them from task to task."""
+    import tokenizers
 
-#: White space beside a blank: there the byte-level rules look at more than the next character.
-_ODD = re.compile(r" \s|\s ")
+    kept = vars(tokenizers).setdefault("_words_kept", {})
+    key = path, blank, lower
+    if key not in kept:
+        kept[key] = Words(path, blank, lower)
+    return kept[key]
+
+
+#: White space beside white space or at an end, where the byte-level rules look at more than the next character.
+_ODD = re.compile(r"\s\s|^\s|\s\Z")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_bpe(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
-    """An encoder for the byte-level vocabulary; null is an empty text. A single blank between two other characters always begins a token."""
-    spaced, first = Words(path, True, False), Words(path, False, False)
+def byte_bpe(path: str) -> Callable[[str | None], bytes]:
+    """An encoder for the byte-level vocabulary, to little-endian u32; null is an empty text. A single blank between two other characters always begins a token."""
+    spaced, plain = words(path, True, False), words(path, False, False)
+    feed = plain["\n"]
 
-    def encode(texts):
-        out = []
-        for text in texts:
-            if not text:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            parts = _SINGLE.split(text) if _ODD.search(text) else text.split(" ")
-            head = first.join(parts[:1])
-            out.append(np.concatenate((head, spaced.join(parts[1:]))) if len(parts) > 1 else head)
-        return out
+    def ids(parts: list[str]) -> bytes:
+        """A line's ids, whose first word has no blank before it."""
+        return plain[parts[0]] + b"".join(map(spaced.__getitem__, parts[1:]))
+
+    def encode(text: str | None) -> bytes:
+        if not text:
+            return b""
+        if _ODD.search(text):
+            return ids(_SINGLE.split(text))
+        # a single line feed between other characters is a token of its own
+        return feed.join([ids(x.split(" ")) for x in text.split("\n")])
 
     return encode
 
 
-_BLANKS = re.compile(r"[^ \n\t\r]+")
+def word_bpe(path: str) -> Callable[[str | None], bytes]:
+    """An encoder for the vocabulary with word ends, which drops white space, to little-endian u32; null is an empty text."""
+    known, blanks = words(path, False, True), re.compile(r"[^ \n\t\r]+")
 
+    def encode(text: str | None) -> bytes:
+        if not text:
+            return b""
+        # Python takes four controls for white space that the vocabulary doesn't
+        return known.join(blanks.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split())
 
-def word_bpe(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
-    """An encoder for the vocabulary with word ends, which drops white space; null is an empty text."""
-    words = Words(path, False, True)
-    return lambda texts: [words.join(_BLANKS.findall(x or "")) for x in texts]
+    return encode

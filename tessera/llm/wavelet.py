@@ -1,8 +1,8 @@
 """Token ids in wavelet matrices: a file per shard, made of bit-planes with rank directories.
 
 A file serves access (the id at a place), count (how often an id occurs before a place) and select (the place of its k-th occurrence) without
-being unpacked; reading it whole takes one pass per plane. Layout, little-endian: magic b"WMX1", planes u32, ids u64, documents u64; doc_id i64
-and count u32 of each document; then for each plane (most significant bit first) the zeros u64, the rank directory (u64 ones before each block of
+being unpacked; reading it whole takes one pass per plane. Layout, little-endian: magic b"WMX1", planes u32, ids u64, documents u64, the
+number of distinct ids u64; the distinct ids u32 in order (planes hold their ranks); doc_id i64 and count u32 of each document; then for each plane (most significant bit first) the zeros u64, the rank directory (u64 ones before each block of
 512 bits) and the bits (8 to a byte, first bit highest). The whole is compressed by Zstandard (level 1).
 """
 
@@ -24,22 +24,26 @@ from .tokens import word_bpe
 MAGIC, BLOCK = b"WMX1", 512
 
 
-def build(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, planes: int = 16) -> bytes:
+def build(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
     """A file of the ids of some documents, in order."""
-    if len(ids) and int(ids.max()) >> planes:
-        raise ValueError(f"an id needs more than {planes} bits")
-    v = ids.astype(np.uint16 if planes <= 16 else np.uint32)
-    out = [MAGIC, struct.pack("<IQQ", planes, len(v), len(counts)), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes()]
+    n = len(ids)
+    held = np.bincount(ids, minlength=1) > 0
+    alphabet = np.flatnonzero(held)
+    planes = max(1, (len(alphabet) - 1).bit_length())
+    v = (np.cumsum(held) - 1).astype(np.uint16 if planes <= 16 else np.uint32)[ids]
+    out = [MAGIC, struct.pack("<IQQQ", planes, n, len(counts), len(alphabet)), alphabet.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes()]
+    blocks = -(-n // BLOCK)
     for k in range(planes - 1, -1, -1):
-        ones = (v >> v.dtype.type(k)) & v.dtype.type(1)
-        mask = ones.astype(bool)
-        packed = np.packbits(mask)
-        padded = np.zeros(-(-len(packed) // 64) * 64, np.uint8)
-        padded[: len(packed)] = packed
-        per = np.bitwise_count(padded).reshape(-1, 64).sum(1, dtype=np.uint64)
-        rank = np.concatenate((np.zeros(1, np.uint64), np.cumsum(per)))
-        out += [struct.pack("<Q", len(v) - int(rank[-1])), rank.astype("<u8").tobytes(), padded.tobytes()]
-        v = np.concatenate((v[~mask], v[mask]))
+        mask = (v & v.dtype.type(1 << k)) != 0
+        padded = np.zeros(blocks * 64, np.uint8)
+        padded[: -(-n // 8)] = np.packbits(mask)
+        rank = np.zeros(blocks + 1, np.uint64)
+        np.cumsum(np.bitwise_count(padded.view(np.uint64)).reshape(-1, 8).sum(1, dtype=np.uint64), out=rank[1:])
+        zeros = n - int(rank[-1])
+        out += [struct.pack("<Q", zeros), rank.astype("<u8").tobytes(), padded.tobytes()]
+        down = np.empty_like(v)
+        down[:zeros], down[zeros:] = v[~mask], v[mask]
+        v = down
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -50,13 +54,15 @@ class Matrix:
         raw = zstandard.ZstdDecompressor().decompress(file)
         if raw[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        self.planes, self.n, docs = struct.unpack_from("<IQQ", raw, 4)
-        at = 24
+        self.planes, self.n, docs, distinct = struct.unpack_from("<IQQQ", raw, 4)
+        at = 32
+        self.alphabet = np.frombuffer(raw, "<u4", distinct, at)
+        at += 4 * distinct
         self.doc_ids = np.frombuffer(raw, "<i8", docs, at)
         at += 8 * docs
         self.counts = np.frombuffer(raw, "<u4", docs, at)
         at += 4 * docs
-        blocks = -(-(-(-self.n // 8)) // 64)
+        blocks = -(-self.n // BLOCK)
         self.levels = []
         for _ in range(self.planes):
             (zeros,) = struct.unpack_from("<Q", raw, at)
@@ -86,10 +92,14 @@ class Matrix:
             bit, ones = self._bit(k, at), self._ones(k, at)
             at = self.levels[k][0] + ones if bit else at - ones
             value = value << 1 | bit
-        return value
+        return int(self.alphabet[value])
 
     def count(self, value: int, end: int | None = None) -> int:
         """Occurrences of an id before `end`."""
+        rank = int(np.searchsorted(self.alphabet, value))
+        if rank == len(self.alphabet) or self.alphabet[rank] != value:
+            return 0
+        value = rank
         a, b = 0, self.n if end is None else end
         for k in range(self.planes):
             ones_a, ones_b = self._ones(k, a), self._ones(k, b)
@@ -120,7 +130,7 @@ class Matrix:
             up[~mask] = v[:zeros]
             up[mask] = v[zeros:] | dtype(1 << (self.planes - 1 - k))
             v = up
-        return v
+        return self.alphabet[v]
 
 
 def _save(path: str, data: bytes) -> None:
@@ -159,25 +169,25 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
     def files(batches):
         from pyspark import TaskContext
 
-        encode, shard = word_bpe(tokenizer), TaskContext.get().partitionId()
+        encode, end, shard = word_bpe(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         held, doc_ids, counts, n, k = [], [], [], 0, 0
 
         def put():
             name = f"{path}/shard-{shard:05d}-{k:05d}.wmx"
-            _save(name, build(np.concatenate(held), np.array(doc_ids, np.int64), np.array(counts, np.int64)))
+            _save(name, build(np.frombuffer(b"".join(held), "<u4"), np.array(doc_ids, np.int64), np.array(counts, np.int64)))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([len(counts)], pa.int64())], names=["shard", "file", "name", "ids", "documents"])
 
         for batch in batches:
             texts = batch.column("text")
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                ids = np.append(encode([texts[i].as_py()])[0], np.uint32(end_id))
-                if n and n + len(ids) > per_file:
+                ids = encode(texts[i].as_py()) + end
+                if n and n + len(ids) // 4 > per_file:
                     yield put()
                     held, doc_ids, counts, n, k = [], [], [], 0, k + 1
                 held.append(ids)
                 doc_ids.append(NULL if doc_id is None else doc_id)
-                counts.append(len(ids))
-                n += len(ids)
+                counts.append(len(ids) // 4)
+                n += len(ids) // 4
         if counts:
             yield put()
 
@@ -206,7 +216,7 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 m = Matrix(_load(name))
-                ids = memoryview(m.ids().astype("<u4")).cast("B")
+                ids = memoryview(m.ids()).cast("B")
                 ends = np.cumsum(m.counts, dtype=np.int64)
                 begins = ends - m.counts
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
