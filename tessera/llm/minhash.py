@@ -1,9 +1,11 @@
 """Near-duplicate classes: MinHash with banding, signature verification, exact confirmation and connected components.
 
 Equal shingle sets are merged first, by a digest of the whole set, so a hot group of copies is one row from then on. Bands propose pairs. In a bucket
-only pairs across classes matter, so pairs are proposed in rounds against a few pivots per bucket (linear in its size); buckets whose members have
-become one class drop out, and what is left in the end is compared exhaustively. No pair is left out: two members of a bucket end up either in one
-class or compared. Pairs pass a signature estimate (with a margin of five standard deviations) and are then decided on their full shingle sets.
+only pairs across classes matter, so pairs are proposed in rounds against a few pivots per bucket (linear in its size), the most central member first;
+buckets whose members have become one class drop out. Members of which too few shingles occur in any other member of what is left can have no link and
+drop out too, and the rest is compared exhaustively. No pair is left out: two members of a bucket end up in one class, compared, or proved unlike.
+Pairs pass a signature estimate (with a margin of five standard deviations) and are then decided on their full shingle sets. Sets are named by 64 bits
+of their digest.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .common import stored
 from .flat import LOWER, NOT_SPACE, chunks, mix, words
 
 BANDS, ROWS, SEED = 38, 5, 20240501
-PIVOTS, ROUNDS = 4, 3
+PIVOTS, ROUNDS = 3, 2
 
 
 def shingle_sets(t, width: int) -> list[np.ndarray]:
@@ -62,7 +64,7 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null without shingles), signature (binary), bands (array of band hashes)."""
+    """doc_id, n_shingles, digest (of the set; null without shingles), signature (binary: the lowest byte of each minimum), bands (array of band hashes)."""
 
     def sign(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -72,30 +74,31 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             digest, signature, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
                 sig = minima([sets[i] for i in full], BANDS * ROWS)
+                low = sig.astype(np.uint8)
                 band = np.zeros((len(full), BANDS), np.uint64)
                 for r in range(ROWS):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 band = band.view(np.int64).tolist()
                 for k, i in enumerate(full):
-                    digest[i], signature[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), sig[k].tobytes(), band[k]
+                    digest[i], signature[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), low[k].tobytes(), band[k]
             yield pa.RecordBatch.from_arrays([t.rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
-    """id, shingles (binary) of the documents wanted: ids (id, digest). Up to `most` ids are broadcast; more are joined by a shuffle."""
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
+    """set, shingles (binary) of the sets wanted: wanted (set, id, digest). Up to `most` are broadcast; more are joined by a shuffle."""
 
     def make(batches):
         for t in chunks(batches):
             sets, digests = shingle_sets(t, width), t.rows.column("digest").to_pylist()
             # an id may stand for several rows: the set wanted is the one with this digest
             keep = [i for i, s in enumerate(sets) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digests[i]]
-            yield pa.RecordBatch.from_arrays([t.rows.column("digest").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([t.rows.column("set").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["set", "shingles"])
 
-    small = ids.limit(most + 1).count() <= most
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id").select("text", "digest")
-    return rows.mapInArrow(make, "digest binary, shingles binary")
+    small = wanted.limit(most + 1).count() <= most
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if small else wanted, "id").select("set", "text", "digest")
+    return rows.mapInArrow(make, "set long, shingles binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,38 +134,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     signed = stored(signatures(docs, width))
     known = signed.where("digest is not null and doc_id is not null")
-    reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature"), F.min("bands").alias("bands")))
-    members = reps.select("digest", "n", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    members = stored(members.join(shared, ["band", "key"]))
-    wanted = stored(members.select("digest").distinct().join(reps.select("digest", "id"), "digest"))
-    sets = stored(sets_of(docs, wanted, width).groupBy("digest").agg(F.first("shingles").alias("shingles")))
-    sigs = stored(wanted.select("digest").join(reps.select("digest", "signature"), "digest"))
-    # one number per set, dense enough to compare and stable: the digest itself names sets; classes are named by the smallest digest
-    label = None
-    links = None
+    reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature"), F.min("bands").alias("bands")).withColumn("set", F.xxhash64("digest")))
+    members = reps.select("set", "n", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(members.join(shared, "key"))
+    central = members.groupBy("set").agg(F.sum("size").alias("central"))
+    members = stored(members.drop("size").join(central, "set"))
+    wanted = stored(members.select("set").distinct().join(reps.select("set", "id", "digest", "signature"), "set"))
+    sets = stored(sets_of(docs, wanted.select("set", "id", "digest"), width).dropDuplicates(["set"]))
+    label = links = None
     for turn in range(ROUNDS + 1):
-        classed = members.withColumn("class", F.col("digest")) if label is None else members.join(label, F.col("digest") == F.col("id"), "left").withColumn("class", F.coalesce("component", "digest")).drop("id", "component")
+        classed = members if label is None else members.join(label, F.col("set") == F.col("id"), "left")
+        classed = classed.withColumn("class", F.col("set") if label is None else F.coalesce("component", "set")).select("key", "set", "n", "central", "class")
         if turn:
-            mixed = classed.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
-            classed = stored(classed.join(mixed, ["band", "key"]))
+            mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+            classed = stored(classed.join(mixed, "key"))
             if classed.isEmpty():
                 break
+            members = linkable(classed, sets, percent)
+            classed = members
         if turn < ROUNDS:
-            at = [F.min(F.struct(F.xxhash64("digest", F.lit(turn * PIVOTS + k)).alias("h"), "digest", "n", "class")).alias(f"p{k}") for k in range(PIVOTS if turn else 1)]
-            pivots = classed.groupBy("band", "key").agg(*at)
-            pivots = pivots.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}") for k in range(len(at))]))).alias("p")).select("band", "key", F.col("p.digest").alias("d2"), F.col("p.n").alias("n2"), F.col("p.class").alias("c2"))
+            at = [F.max_by(F.struct("set", "n", "class"), F.struct("central", "set"))] + [F.min_by(F.struct("set", "n", "class"), F.xxhash64("set", F.lit(k))) for k in range(PIVOTS if turn else 0)]
+            pivots = classed.groupBy("key").agg(F.array_distinct(F.array(*at)).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.set").alias("set2"), F.col("p.n").alias("n2"), F.col("p.class").alias("class2"))
+            apart = F.col("class") != F.col("class2")
         else:
-            pivots = classed.select("band", "key", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("class").alias("c2"))
-        across = F.col("class") < F.col("c2") if turn == ROUNDS else F.col("class") != F.col("c2")
-        alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & across
-        pairs = classed.join(pivots, ["band", "key"]).where(alike).select(F.least("digest", "d2").alias("a"), F.greatest("digest", "d2").alias("b")).distinct()
-        new = confirmed(pairs, sigs, sets, percent)
+            pivots = classed.select("key", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("class").alias("class2"), F.col("common").alias("common2"))
+            # what both have in common is at most what either shares with any
+            both = F.least("common", "common2")
+            apart = (F.col("class") < F.col("class2")) & (100 * both >= percent * (F.col("n") + F.col("n2") - both))
+        alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & apart
+        pairs = classed.join(pivots, "key").where(alike).select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
+        new = confirmed(pairs, wanted.select("set", "signature"), sets, percent)
         links = stored(new if links is None else links.unionByName(new))
         label = components(links)
-    # classes of sets, by digest, become classes of documents
-    id_of = reps.select("digest", F.col("id").alias("first"))
-    named = id_of.join(label, F.col("digest") == F.col("id"), "left").select("digest", "first", F.coalesce("component", "digest").alias("class"))
+    # classes of sets become classes of documents
+    id_of = reps.select("digest", "set", F.col("id").alias("first"))
+    named = id_of.join(label, F.col("set") == F.col("id"), "left").select("digest", "first", F.coalesce("component", "set").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "class").select("digest", "component_id")
     merged = same_ids(known, classes)
@@ -170,6 +177,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
+def linkable(classed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (key, set, n, central, class) that may still have a link, with common: how many of a set's shingles occur in another set of these.
+
+    A link needs percent of the union in common, so at least percent of the set itself.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            raw = batch.column("shingles").to_pylist()
+            n = np.array([len(x) // 8 for x in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("set").to_numpy(), n)), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["set", "x"])
+
+    each = sets.join(classed.select("set").distinct(), "set").select("set", "shingles").mapInArrow(spread, "set long, x long")
+    often = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
+    common = each.join(often, "x").groupBy("set").agg(F.count("*").alias("common"))
+    return stored(classed.join(common, "set").where(100 * F.col("common") >= percent * F.col("n")).select("key", "set", "n", "central", "class", "common"))
+
+
 def same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows with one id and different texts join their classes; where ids are unique (the usual case) nothing is done."""
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
@@ -181,8 +206,8 @@ def same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(label, F.col("component_id") == F.col("id"), "left").select("digest", F.coalesce("component", "component_id").alias("component_id"))
 
 
-def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests that their signatures let pass and that their full sets confirm."""
+def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that their signatures let pass and that the sets in full confirm."""
     n = BANDS * ROWS
     share = percent / 100
     least = n * (share - 5 * (share * (1 - share) / n) ** 0.5)
@@ -190,7 +215,7 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
     def estimate(batches):
         for batch in batches:
             if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, n) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in ("sa", "sb"))
                 ok = pa.array((x == y).sum(1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
 
@@ -205,8 +230,8 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
 
     def with_both(rows: DataFrame, side: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
         for end, name in zip("ba", names, strict=True):
-            rows = rows.join(side.select(F.col("digest").alias(end), F.col(value).alias(name)), end)
+            rows = rows.join(side.select(F.col("set").alias(end), F.col(value).alias(name)), end)
         return rows
 
-    likely = stored(with_both(pairs, sigs, "signature", ("sb", "sa")).select("a", "b", "sa", "sb").mapInArrow(estimate, "a binary, b binary"))
-    return with_both(likely, sets, "shingles", ("xb", "xa")).select("a", "b", "xa", "xb").mapInArrow(exact, "a binary, b binary")
+    likely = stored(with_both(pairs, signatures, "signature", ("sb", "sa")).select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long"))
+    return with_both(likely, sets, "shingles", ("xb", "xa")).select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long")
