@@ -21,7 +21,7 @@ from .common import stored
 from .flat import LOWER, NOT_SPACE, chunks, mix, words
 
 BANDS, ROWS, SEED = 38, 5, 20240501
-PIVOTS, ROUNDS = 3, 2
+PIVOTS, ROUNDS = 8, 3
 
 
 def shingle_sets(t, width: int) -> list[np.ndarray]:
@@ -154,14 +154,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             members = linkable(classed, sets, percent)
             classed = members
         if turn < ROUNDS:
-            at = [F.max_by(F.struct("set", "n", "class"), F.struct("central", "set"))] + [F.min_by(F.struct("set", "n", "class"), F.xxhash64("set", F.lit(k))) for k in range(PIVOTS if turn else 0)]
-            pivots = classed.groupBy("key").agg(F.array_distinct(F.array(*at)).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.set").alias("set2"), F.col("p.n").alias("n2"), F.col("p.class").alias("class2"))
+            # the most central member of each of some random parts of the bucket; of the whole bucket in the first round
+            values = F.struct("set", "n", "class", *(["common"] if turn else []))
+            part = F.pmod(F.xxhash64("set", F.lit(turn)), F.lit(PIVOTS)) if turn else F.lit(0)
+            at = [F.max_by(F.when(part == k, values), F.when(part == k, F.struct("central", "set"))) for k in range(PIVOTS if turn else 1)]
+            pivots = classed.groupBy("key").agg(F.array_compact(F.array(*at)).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.set").alias("set2"), F.col("p.n").alias("n2"), F.col("p.class").alias("class2"), *([F.col("p.common").alias("common2")] if turn else []))
             apart = F.col("class") != F.col("class2")
         else:
             pivots = classed.select("key", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("class").alias("class2"), F.col("common").alias("common2"))
-            # what both have in common is at most what either shares with any
+            apart = F.col("class") < F.col("class2")
+        if turn:  # what both have in common is at most what either shares with any
             both = F.least("common", "common2")
-            apart = (F.col("class") < F.col("class2")) & (100 * both >= percent * (F.col("n") + F.col("n2") - both))
+            apart = apart & (100 * both >= percent * (F.col("n") + F.col("n2") - both))
         alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & apart
         pairs = classed.join(pivots, "key").where(alike).select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
         new = confirmed(pairs, wanted.select("set", "signature"), sets, percent)
