@@ -85,9 +85,21 @@ _POWERS = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(
 
 def words(texts: Texts, is_word: np.ndarray, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each run of word bytes; no run crosses texts, as the line feed is never a word byte."""
-    buf = texts.buf[: texts.size]
+    buf, out, a = texts.buf[: texts.size], [], 0
+    while a < len(buf):  # slices that end at a byte between words, so that the arrays of 64-bit numbers stay small
+        b = min(len(buf), a + (1 << 19))
+        while b < len(buf) and is_word[buf[b]]:
+            b += 1
+        begin, end, h = _words(buf[a:b], is_word, lower)
+        out.append((begin + a, end + a, h))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _words(buf: np.ndarray, is_word: np.ndarray, lower: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = is_word[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate((np.zeros(1, np.int8), inside.view(np.int8)))))
+    marks = np.concatenate((np.zeros(1, np.int8), inside.view(np.int8), np.zeros(1, np.int8)))
+    edge = np.flatnonzero(np.diff(marks))
     begin, end = edge[0::2], edge[1::2]
     if not len(begin):
         return begin, end, np.zeros(0, np.uint64)

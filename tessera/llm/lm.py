@@ -12,83 +12,132 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shared_dir, stored
 from .flat import LOWER, NOT_SPACE, chunks, words
 from .tokens import words as word_ids
 
 #: Width of vectors; classes of context and of output; length of a window and how many subwords it scores.
-DIM, INPUTS, OUTPUTS, SPAN, STRIDE = 16, 2048, 256, 32, 24
+DIM, INPUTS, OUTPUTS, SPAN, STRIDE = 16, 1024, 32, 32, 24
 #: A document takes part in round k of training if its hash modulo SHARE is k; of its windows every EVERY-th counts.
 SHARE, ROUNDS, EVERY, BATCH = 16, 2, 2, 16
 SHAPES = {"emb": (INPUTS + 2, DIM), "pos": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, OUTPUTS), "c": (1, OUTPUTS)}
 
 
-def blocks(docs: DataFrame, tokenizer: str, limit: int = 8_000_000) -> DataFrame:
-    """docs: doc_id, held_out, text. Rows of words (block, at, hash, n: its count in training rows, ids) and of documents (block, doc_id, held_out, train_turn, doc: word indexes); a null text has no words."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("turn", pa.int32()), ("doc", pa.binary()), ("at", pa.int32()), ("hash", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+#: Rows of a block: its documents; its words' subword ids; words by part of the hash, to be counted; counts of subwords and of their pairs.
+DOCS, IDS, PARTS, COUNTS = 0, 1, 2, 3
+SCHEMA = "kind int, block long, doc_id long, held_out boolean, turn int, a binary, b binary, c binary, part int, key long, n long"
+
+
+def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000) -> DataFrame:
+    """docs: doc_id, held_out, text. A null text has no words. Rows by kind:
+
+    DOCS a document (a: indexes of its words, b: its subword ids if it takes part in training); IDS a block's words (a: numbers of ids, b: ids);
+    PARTS a block's words whose hash falls into one of `parts` (a: hashes, b: counts in training rows, c: indexes); COUNTS of a task's training rows
+    (key: a subword id, or 65536 * (first + 1) + second for neighbours in a word, 65536 * (last + 1) + 65535 for a word's end, -1 - id for its begin).
+    """
+    names = ("kind", "block", "doc_id", "held_out", "turn", "a", "b", "c", "part", "key", "n")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+
+    def rows(m: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(m, k) for c, k in zip(names, kinds, strict=True)], names=list(names))
 
     def run(batches):
         from pyspark import TaskContext
 
         known_ids = word_ids(tokenizer, True, False)
         block = TaskContext.get().partitionId() << 24
+        sums: dict[int, int] = {}
         for batch in batches:
             for t in chunks([batch], limit):
                 begin, end, h = words(t, NOT_SPACE, LOWER)
                 known, first, own = np.unique(h, return_index=True, return_inverse=True)
                 at = np.searchsorted(begin, np.append(t.starts, t.size))
-                held = np.array([bool(x) for x in t.rows.column("held_out").to_pylist()])
-                train = np.repeat(~held, np.diff(at))
-                n = np.bincount(own[train], minlength=len(known))
+                held, turn = t.rows.column("held_out").to_pylist(), t.rows.column("turn").to_pylist()
+                n = np.bincount(own[np.repeat([not x for x in held], np.diff(at))], minlength=len(known))
                 low = LOWER[t.buf].tobytes()
-                ids = [np.frombuffer(known_ids[low[begin[i] : end[i]].decode("utf-8", "replace")], "<u4").astype("<u2").tobytes() for i in first.tolist()]
+                ids = [known_ids[low[i:j].decode("utf-8", "replace")] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+                del low, begin, end, h
+                lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                flat = np.frombuffer(b"".join(ids), "<u4").astype("<u2")
+                for key, c in zip(*_counted(lens, flat, n), strict=True):
+                    sums[key] = sums.get(key, 0) + c
                 own = own.astype("<u4")
-                docs_ = [own[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
-                for k in range(0, len(docs_), 2000):
-                    part = docs_[k : k + 2000]
+                spans = list(zip(at.tolist(), at[1:].tolist(), strict=False))
+                learn = [not x and k is not None and k < ROUNDS for x, k in zip(held, turn, strict=True)]
+                for k in range(0, len(spans), 1000):
+                    part = [own[a:b].tobytes() for a, b in spans[k : k + 1000]]
                     m = len(part)
-                    none = pa.nulls(m)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), t.rows.column("doc_id").slice(k, m), t.rows.column("held_out").slice(k, m), t.rows.column("turn").slice(k, m), pa.array(part, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], schema=schema)
-                for k in range(0, len(known), 50_000):
-                    part = ids[k : k + 50_000]
-                    m = len(part)
-                    none = pa.nulls(m)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(np.arange(k, k + m), pa.int32()), pa.array(known[k : k + m].view(np.int64)), pa.array(n[k : k + m]), pa.array(part, pa.binary())], schema=schema)
+                    lessons = subwords([x if y else b"" for x, y in zip(part, learn[k : k + 1000], strict=True)], lens, flat)
+                    yield rows(m, kind=[DOCS] * m, block=[block] * m, doc_id=t.rows.column("doc_id").slice(k, m).to_pylist(), held_out=held[k : k + m], turn=turn[k : k + m], a=part, b=[x.astype("<u2").tobytes() if y else None for x, y in zip(lessons, learn[k : k + m], strict=True)])
+                yield rows(1, kind=[IDS], block=[block], a=[lens.astype("<u2").tobytes()], b=[flat.tobytes()])
+                # np.unique sorts: words of one part, by the hash's upper bits, stand together
+                part = ((known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                ends = np.searchsorted(part, np.arange(parts + 1))
+                full = np.flatnonzero(np.diff(ends))
+                index = np.arange(len(known), dtype="<u4")
+                cut = [(int(ends[k]), int(ends[k + 1])) for k in full]
+                yield rows(len(full), kind=[PARTS] * len(full), block=[block] * len(full), part=full, a=[known[i:j].tobytes() for i, j in cut], b=[n[i:j].astype("<i8").tobytes() for i, j in cut], c=[index[i:j].tobytes() for i, j in cut])
                 block += 1
+            if len(sums) > 2_000_000:
+                yield rows(len(sums), kind=[COUNTS] * len(sums), key=list(sums), n=list(sums.values()))
+                sums = {}
+        if sums:
+            yield rows(len(sums), kind=[COUNTS] * len(sums), key=list(sums), n=list(sums.values()))
 
     turn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SHARE)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", turn.alias("turn"), "text")
-    return rows.mapInArrow(run, "block long, doc_id long, held_out boolean, turn int, doc binary, at int, hash long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", turn.alias("turn"), "text").mapInArrow(run, SCHEMA)
+
+
+def _counted(lens: np.ndarray, flat: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
+    """Counts of subwords and their neighbours in words that occur n times, by the keys of COUNTS."""
+    weight = np.repeat(n, lens)
+    ends = np.cumsum(lens)
+    full = lens > 0
+    after = np.append(flat[1:], 0).astype(np.int64)
+    after[ends[full] - 1] = 65535
+    here = flat.astype(np.int64)
+    key = np.concatenate((here, (here + 1) * 65536 + after, -1 - here[(ends - lens)[full]]))
+    count = np.concatenate((weight, weight, n[full]))
+    key, own = np.unique(key[count > 0], return_inverse=True)
+    return key.tolist(), np.bincount(own, count[count > 0]).astype(np.int64).tolist()
 
 
 @dataclass
 class Model:
-    """Subword ids' classes and log10 shares of them; the logits that the subword before gives by corpus counts; the network's parameters."""
+    """Subword ids' fine and coarse classes, and log10 of an id's share of its fine class; by corpus counts, log10 of a fine class's share of its coarse
+    class after each fine class, and the logits of coarse classes; the network's parameters."""
 
     input: np.ndarray
     output: np.ndarray
     share: np.ndarray
+    fine: np.ndarray
     skip: np.ndarray
     net: dict[str, np.ndarray]
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By falling count: input classes (the commonest alone, the rest in runs of equal number), output classes (runs of near equal mass of the square root), log10 of an id's share of its output class."""
+    """By falling count: fine classes (the commonest ids alone, the rest in runs of equal number), coarse classes (runs of fine ones of near equal mass of the square root), log10 of an id's share of its fine class."""
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(counts), np.int64)
     rank[order] = np.arange(len(counts))
     alone = INPUTS * 3 // 4
     rest = max(1, -(-(len(counts) - alone) // (INPUTS - alone)))
-    input_ = np.where(rank < alone, rank, alone + (rank - alone) // rest).astype(np.int32)
-    mass = np.cumsum(np.sqrt(counts[order] + 0.1))
-    output = np.empty(len(counts), np.int32)
-    output[order] = np.minimum((mass - mass[0]) / mass[-1] * OUTPUTS, OUTPUTS - 1).astype(np.int32)
+    fine = np.where(rank < alone, rank, alone + (rank - alone) // rest).astype(np.int32)
     smooth = counts + 0.1
-    share = np.log10(smooth / np.bincount(output, smooth, minlength=OUTPUTS)[output])
-    return input_, output, share.astype(np.float32)
+    mass = np.cumsum(np.sqrt(np.bincount(fine, smooth, minlength=INPUTS)))
+    coarse = np.minimum((mass - mass[0]) / mass[-1] * OUTPUTS, OUTPUTS - 1).astype(np.int32)
+    share = np.log10(smooth / np.bincount(fine, smooth, minlength=INPUTS)[fine])
+    return fine, coarse[fine], share.astype(np.float32)
+
+
+def _coarse(fine: np.ndarray, output: np.ndarray) -> np.ndarray:
+    """The coarse class of each fine one."""
+    out = np.zeros(INPUTS, np.int64)
+    out[fine] = output
+    return out
 
 
 def start() -> dict[str, np.ndarray]:
@@ -100,12 +149,20 @@ def start() -> dict[str, np.ndarray]:
     return net
 
 
-def skips(pairs: np.ndarray, firsts: np.ndarray, mass: np.ndarray, prior: float = 20.0) -> np.ndarray:
-    """Log-probability of an output class after an input class, by counts: pairs (INPUTS x OUTPUTS + 1, the last column for word ends) and first subwords of words."""
-    first = (firsts + mass / mass.sum()) / (firsts.sum() + 1)
-    n = pairs[:, :-1] + pairs[:, -1:] * first + prior * mass / mass.sum()
-    out = np.log(n / n.sum(1, keepdims=True))
-    return np.concatenate((out, np.log(np.stack((first, first))))).astype(np.float32)
+def skips(pairs: np.ndarray, firsts: np.ndarray, mass: np.ndarray, coarse: np.ndarray, prior: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """After each fine class (and the begin of a text, and a pad): log10 of a fine class's share of its coarse class, and natural log-probability of a coarse class.
+
+    By counts: pairs (INPUTS x INPUTS + 1, the last column for word ends) and first subwords of words; mass, of all subwords, smooths them.
+    """
+    mass = mass / mass.sum()
+    first = (firsts + mass) / (firsts.sum() + 1)
+    p = np.concatenate((pairs[:, :-1] + pairs[:, -1:] * first + prior * mass, [first, first]))
+    group = np.zeros((INPUTS, OUTPUTS))
+    group[np.arange(INPUTS), coarse] = 1
+    sums = p @ group
+    within = np.log10(p / sums[:, coarse])
+    skip = np.log(np.maximum(sums, 1e-12) / sums.sum(1, keepdims=True))
+    return within.astype(np.float32), skip.astype(np.float32)
 
 
 def _mask() -> np.ndarray:
@@ -243,32 +300,42 @@ def score_ids(model: Model, ids: list[np.ndarray], end_id: int, per_batch: int =
                 ok = t >= 0
                 t = np.maximum(t, 0)
                 logits, _ = forward(model.net, model.skip, x[k : k + per_batch], mask)
-                p = log_softmax_at(logits, model.output[t]) * np.float32(np.log10(np.e)) + model.share[t]
+                p = log_softmax_at(logits, model.output[t]) * np.float32(np.log10(np.e)) + model.share[t] + model.fine[x[k : k + per_batch, SPAN - STRIDE :].ravel(), model.input[t]]
                 own = np.repeat(owner[k : k + per_batch], STRIDE)
                 out[group[0] : group[-1] + 1] += np.bincount(own[ok], p[ok], minlength=len(group))
             group, held = [], 0
     return out
 
 
-def _words_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's word rows: places in order, lengths and flat ids."""
-    order = np.argsort(table.column("at").to_numpy(), kind="stable")
-    ids = table.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
-    return order, np.array([len(x) // 2 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u2")
+def _learner(model: Model, end_id: int, seed: int):
+    """Trains a copy of the network on a task's rows; its parameters, times the subwords learnt from, and their number."""
 
+    def learn(batches):
+        own = Model(model.input, model.output, model.share, model.fine, model.skip, dict(model.net))
+        n, state = 0, {}
+        for batch in batches:
+            texts = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("b").to_pylist()]
+            for k in range(0, len(texts), 500):
+                n += train(own, texts[k : k + 500], end_id, state, seed=seed)
+        if n:
+            values = np.concatenate([own.net[k].ravel() for k in SHAPES]).astype(np.float64) * n
+            yield pa.record_batch({"i": pa.array(np.arange(len(values) + 1), pa.int32()), "x": pa.array(np.append(values, n))})
 
-def _learner(model: Model, turn: int, end_id: int):
-    """Trains a copy of the network on a block; its parameters, times the subwords learnt from, and their number."""
+    return learn
 
-    def learn(key, left, right):
-        order, lens, flat = _words_of(right)
-        ids = subwords(left.column("doc").to_pylist(), lens, flat)
-        own = Model(model.input, model.output, model.share, model.skip, dict(model.net))
-        n = train(own, ids, end_id, {}, seed=turn) if ids else 0
-        values = np.concatenate([own.net[k].ravel() for k in SHAPES]).astype(np.float64) * n
-        return pa.table({"i": pa.array(np.arange(len(values) + 1), pa.int32()), "x": pa.array(np.append(values, n))})
 
-    return learn
+def _total(key, table):
+    """Of one part of the words: each block's words' counts in all blocks (a: counts, c: indexes), and in its first row the part's tokens and distinct words."""
+    hashes = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
+    n = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("b").to_pylist()])
+    known, own = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(own, n, minlength=len(known)).astype("<i8")
+    each, ends = total[own], np.cumsum([0, *map(len, hashes)])
+    m = len(hashes)
+    first = np.zeros(m, np.int64)
+    tokens, distinct = first.copy(), first.copy()
+    tokens[0], distinct[0] = total.sum(), (total > 0).sum()
+    return pa.table({"block": table.column("block"), "a": pa.array([each[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary()), "c": table.column("c"), "tokens": pa.array(tokens), "words": pa.array(distinct)})
 
 
 def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 50_257, end_id: int = 50_256) -> DataFrame:
@@ -279,80 +346,74 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 5
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "text").withColumn("held_out", held_out)
-    made = stored(blocks(base.select("doc_id", "held_out", "text"), tokenizer))
-    rows = made.where("at is null").select("block", "doc_id", "held_out", "turn", "doc")
-    by_word = Window.partitionBy("hash")
-    # a word has a row for each block at most, so no task gets more than the number of blocks for it
-    counted = made.where("at is not null").select("block", "at", "hash", "n", "ids").withColumns({"c": F.sum("n").over(by_word), "turn": F.row_number().over(by_word.orderBy("block"))})
-    counted = stored(counted.select("block", "at", "ids", "c", (F.col("turn") == 1).alias("first")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a part's words are counted in one task: about a million and a half from all blocks
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 50) // 20_000_000)
+    path = shared_dir(spark)
+    blocks(base.select("doc_id", "held_out", "text"), tokenizer, parts).write.partitionBy("kind").parquet(path)
+    made = spark.read.schema(SCHEMA).parquet(path)
+    rows = made.where(F.col("kind") == DOCS)
+    counted = stored(made.where(F.col("kind") == PARTS).select("part", "block", "a", "b", "c").groupBy("part").applyInArrow(_total, "block long, a binary, c binary, tokens long, words long"))
     ends = rows.where("not held_out").count()
-    total = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("int(c > 0)")), F.lit(0))).first()
+    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     n_train, distinct = total[0] + ends, total[1] + (ends > 0)
-
-    def count(batches):
-        sums = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            n = np.array([len(x) // 2 for x in ids])
-            np.add.at(sums, np.frombuffer(b"".join(ids), "<u2"), np.repeat(batch.column("c").to_numpy(), n))
-        at = np.flatnonzero(sums)
-        yield pa.record_batch({"id": pa.array(at, pa.int32()), "n": pa.array(sums[at])})
-
-    got = counted.where("first and c > 0").select("ids", "c").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # `vocabulary` rows at most
-    counts = np.zeros(vocabulary)
-    counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
-    counts[end_id] += ends
-    input_, output, share = classes(counts)
-
-    def pair(batches):
-        sums, first = np.zeros((INPUTS, OUTPUTS + 1), np.int64), np.zeros(OUTPUTS, np.int64)
-        for batch in batches:
-            ids, c = batch.column("ids").to_pylist(), batch.column("c").to_numpy()
-            n = np.array([len(x) // 2 for x in ids])
-            flat, weight, stop = np.frombuffer(b"".join(ids), "<u2"), np.repeat(c, n), np.cumsum(n)
-            last = np.zeros(len(flat), bool)
-            last[stop - 1] = True
-            after = np.where(last, OUTPUTS, output[np.append(flat[1:], 0)])
-            np.add.at(sums, (input_[flat], after), weight)
-            np.add.at(first, output[flat[stop - n]], c)
-        at = np.flatnonzero(sums.ravel())
-        yield pa.record_batch({"i": pa.array(np.append(at, -1 - np.arange(OUTPUTS)), pa.int32()), "n": pa.array(np.append(sums.ravel()[at], first))})
-
-    got = counted.where("first and c > 0 and octet_length(ids) > 0").select("ids", "c").mapInArrow(pair, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # classes by classes at most
-    at, n = got.column("i").to_numpy(), got.column("n").to_numpy()
-    pairs, firsts = np.zeros(INPUTS * (OUTPUTS + 1)), np.zeros(OUTPUTS)
-    pairs[at[at >= 0]] = n[at >= 0]
-    firsts[-1 - at[at < 0]] = n[at < 0]
-    firsts[output[end_id]] += ends
-    mass = np.bincount(output, counts + 0.1, minlength=OUTPUTS) + 1e-3
-    model = Model(input_, output, share, skips(pairs.reshape(INPUTS, -1), firsts, mass), start())
-    # the words of a document of a training round are joined to it by block, as in scoring
+    base_log = float(np.log10(n_train + 0.1 * (distinct + 1)))
+    model = _counts_model(made.where(F.col("kind") == COUNTS).select("key", "n"), vocabulary, end_id, ends)
     for turn in range(ROUNDS):
-        chosen = rows.where(F.col("turn") == turn).where("not held_out").select("block", "doc")
-        new = chosen.groupBy("block").cogroup(counted.join(chosen.select("block").distinct(), "block", "left_semi").select("block", "at", "ids").groupBy("block")).applyInArrow(_learner(model, turn, end_id), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toArrow()
-        x = new.column("x").to_numpy()
-        if len(x) and x[-1]:
+        lessons = rows.where((F.col("turn") == turn) & ~F.col("held_out")).select("b")
+        new = lessons.mapInArrow(_learner(model, end_id, turn), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # a row per parameter
+        x = new.column("x").to_numpy()[np.argsort(new.column("i").to_numpy())]
+        if len(x):
             x, at = x[:-1] / x[-1], 0
             for k, s in SHAPES.items():
                 model.net[k] = x[at : at + s[0] * s[1]].reshape(s).astype(np.float32)
                 at += s[0] * s[1]
-    base_log = float(np.log10(n_train + 0.1 * (distinct + 1)))
 
     def final(key, left, right):
-        if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        order, lens, flat = _words_of(right)
-        c = right.column("c").to_numpy()[order]
-        value = np.log10(c + 0.1) - base_log
-        texts = left.column("doc").to_pylist()
-        idx = [np.frombuffer(x, "<u4") for x in texts]
-        base_score = np.array([value[w].sum() for w in idx]) + np.log10(ends + 0.1) - base_log
-        known = np.array([int((c[w] > 0).sum()) for w in idx]) + (ends > 0)
-        p = np.empty(len(texts))
-        for k in range(0, len(texts), 500):
-            p[k : k + 500] = score_ids(model, subwords(texts[k : k + 500], lens, flat), end_id)
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array([len(w) + 1 for w in idx], pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base_score), "score": pa.array(p)})
-
-    right = counted.select("block", "at", "ids", "c")
-    out = rows.select("block", "doc_id", "held_out", "doc").groupBy("block").cogroup(right.groupBy("block")).applyInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        kind = left.column("kind").to_numpy()
+        here, words_ = left.filter(pa.array(kind == DOCS)), left.filter(pa.array(kind == IDS))
+        lens, flat = np.frombuffer(words_.column("a")[0].as_py(), "<u2").astype(np.int64), np.frombuffer(words_.column("b")[0].as_py(), "<u2")
+        c = np.zeros(len(lens), np.int64)
+        for value, index in zip(right.column("a").to_pylist(), right.column("c").to_pylist(), strict=True):
+            c[np.frombuffer(index, "<u4")] = np.frombuffer(value, "<i8")
+        value, seen = np.log10(c + 0.1) - base_log, c > 0
+        texts = here.column("a").to_pylist()
+        base_score, known, n, p = np.empty(len(texts)), np.empty(len(texts), np.int64), np.empty(len(texts), np.int64), np.empty(len(texts))
+        for k in range(0, len(texts), 200):
+            for i, x in enumerate(texts[k : k + 200], k):
+                w = np.frombuffer(x, "<u4")
+                base_score[i], known[i], n[i] = value[w].sum(), seen[w].sum(), len(w)
+            p[k : k + 200] = score_ids(model, subwords(texts[k : k + 200], lens, flat), end_id)
+        return pa.table({"doc_id": here.column("doc_id"), "held_out": here.column("held_out"), "n_tokens": pa.array(n + 1), "n_known": pa.array(known + (ends > 0)), "base_score": pa.array(base_score + np.log10(ends + 0.1) - base_log), "score": pa.array(p)})
+
+    left = made.where(F.col("kind") <= IDS).select("block", "kind", "doc_id", "held_out", "a", F.when(F.col("kind") == IDS, F.col("b")).alias("b"))
+    out = left.groupBy("block").cogroup(counted.select("block", "a", "c").groupBy("block")).applyInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _counts_model(rows: DataFrame, vocabulary: int, end_id: int, ends: int) -> Model:
+    """The model before training: classes of subwords and all that counts alone give."""
+    got = rows.where((F.col("key") >= 0) & (F.col("key") < 65536)).groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # `vocabulary` rows at most
+    counts = np.zeros(vocabulary)
+    counts[got.column("key").to_numpy()] = got.column("n").to_numpy()
+    counts[end_id] += ends
+    fine, output, share = classes(counts)
+
+    def classed(batches):
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            pair = key >= 65536
+            a, b = np.maximum(key // 65536 - 1, 0), key % 65536
+            to = np.where(b == 65535, INPUTS, fine[np.minimum(b, vocabulary - 1)])
+            cell = np.where(pair, fine[np.minimum(a, vocabulary - 1)] * (INPUTS + 1) + to, -1 - fine[np.minimum(np.maximum(-1 - key, 0), vocabulary - 1)])
+            own, at = np.unique(cell, return_inverse=True)
+            yield pa.record_batch({"i": pa.array(own, pa.int32()), "n": pa.array(np.bincount(at, batch.column("n").to_numpy()).astype(np.int64))})
+
+    got = rows.where((F.col("key") < 0) | (F.col("key") >= 65536)).mapInArrow(classed, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # classes by classes at most
+    at, n = got.column("i").to_numpy(), got.column("n").to_numpy().astype(float)
+    pairs, firsts = np.zeros(INPUTS * (INPUTS + 1)), np.zeros(INPUTS)
+    pairs[at[at >= 0]] = n[at >= 0]
+    firsts[-1 - at[at < 0]] = n[at < 0]
+    firsts[fine[end_id]] += ends
+    within, skip = skips(pairs.reshape(INPUTS, -1), firsts, np.bincount(fine, counts + 0.1, minlength=INPUTS) + 1e-3, _coarse(fine, output))
+    return Model(fine, output, share, within, skip, start())
