@@ -31,7 +31,7 @@ DOCS, IDS, PARTS, COUNTS = 0, 1, 2, 3
 SCHEMA = "kind int, block long, doc_id long, held_out boolean, turn int, a binary, b binary, c binary, part int, key long, n long"
 
 
-def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 4_000_000) -> DataFrame:
     """docs: doc_id, held_out, text. A null text has no words. Rows by kind:
 
     DOCS a document (a: indexes of its words, b: its subword ids if it takes part in training); IDS a block's words (a: numbers of ids, b: ids);
@@ -47,7 +47,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
     def run(batches):
         from pyspark import TaskContext
 
-        known_ids = word_ids(tokenizer, True, False)
+        known_ids = word_ids(tokenizer, True, False, 200_000)
         block = TaskContext.get().partitionId() << 24
         sums: dict[int, int] = {}
         for batch in batches:
@@ -81,7 +81,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
                 cut = [(int(ends[k]), int(ends[k + 1])) for k in full]
                 yield rows(len(full), kind=[PARTS] * len(full), block=[block] * len(full), part=full, a=[known[i:j].tobytes() for i, j in cut], b=[n[i:j].astype("<i8").tobytes() for i, j in cut], c=[index[i:j].tobytes() for i, j in cut])
                 block += 1
-            if len(sums) > 2_000_000:
+            if len(sums) > 300_000:
                 yield rows(len(sums), kind=[COUNTS] * len(sums), key=list(sums), n=list(sums.values()))
                 sums = {}
         if sums:

@@ -42,8 +42,9 @@ class Words(dict):
     A simple word goes straight to the vocabulary's model, in the pieces that the tokenizer would cut it into; any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, blank: bool, lower: bool):
+    def __init__(self, path: str, blank: bool, lower: bool, most: int = MOST_WORDS):
         super().__init__()
+        self.most = most
         self.tokenizer, self.blank, self.lower = _load(path), " " if blank else "", lower
         self.shown_blank = "\u0120" if blank else ""
         self.model, self.signs = self.tokenizer.model, {}
@@ -54,7 +55,7 @@ class Words(dict):
     def sign(self, x: str) -> bytes:
         got = self.signs.get(x)
         if got is None:
-            if len(self.signs) >= MOST_WORDS:
+            if len(self.signs) >= self.most:
                 self.signs.clear()
             got = self.signs[x] = self.ids(x)
         return got
@@ -86,7 +87,7 @@ class Words(dict):
         got = self.simple(word)
         if got is None:
             got = array("I", self.tokenizer.encode(self.blank + word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= MOST_WORDS:
+        if len(self) >= self.most:
             self.clear()
         self[word] = got
         return got
@@ -96,14 +97,14 @@ class Words(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-def words(path: str, blank: bool, lower: bool) -> Words:
+def words(path: str, blank: bool, lower: bool, most: int = MOST_WORDS) -> Words:
     """The process's own Words for these: a Python worker keeps them from task to task."""
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_words_kept", {})
-    key = path, blank, lower
+    key = path, blank, lower, most
     if key not in kept:
-        kept[key] = Words(path, blank, lower)
+        kept[key] = Words(*key)
     return kept[key]
 
 
