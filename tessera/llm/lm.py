@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from .tokens import words as word_ids
 #: Width of vectors; classes of context and of output; length of a window and how many subwords it scores.
 DIM, INPUTS, OUTPUTS, SPAN, STRIDE = 16, 1024, 32, 32, 24
 #: A document takes part in round k of training if its hash modulo SHARE is k; of its windows every EVERY-th counts.
-SHARE, ROUNDS, EVERY, BATCH = 16, 2, 2, 16
+SHARE, ROUNDS, EVERY, BATCH = 16, 2, 4, 16
 SHAPES = {"emb": (INPUTS + 2, DIM), "pos": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, OUTPUTS), "c": (1, OUTPUTS)}
 
 
@@ -31,11 +32,12 @@ DOCS, IDS, PARTS, COUNTS = 0, 1, 2, 3
 SCHEMA = "kind int, block long, doc_id long, held_out boolean, turn int, a binary, b binary, c binary, part int, key long, n long"
 
 
-def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 4_000_000) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 5_000_000) -> DataFrame:
     """docs: doc_id, held_out, text. A null text has no words. Rows by kind:
 
-    DOCS a document (a: indexes of its words, b: its subword ids if it takes part in training); IDS a block's words (a: numbers of ids, b: ids);
-    PARTS a block's words whose hash falls into one of `parts` (a: hashes, b: counts in training rows, c: indexes); COUNTS of a task's training rows
+    DOCS a document (a: its words' numbers, packed, b: its subword ids if it takes part in training); IDS a block's words by number (a: how many ids,
+    b: ids, c: their places in the order of hashes); PARTS a block's words whose hash falls into one of `parts`, in that order from place `key` on (a:
+    hashes, b: counts in training rows); COUNTS of a task's training rows
     (key: a subword id, or 65536 * (first + 1) + second for neighbours in a word, 65536 * (last + 1) + 65535 for a word's end, -1 - id for its begin).
     """
     names = ("kind", "block", "doc_id", "held_out", "turn", "a", "b", "c", "part", "key", "n")
@@ -47,7 +49,8 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 4_000_000)
     def run(batches):
         from pyspark import TaskContext
 
-        known_ids = word_ids(tokenizer, True, False, 200_000)
+        pack = zstandard.ZstdCompressor(level=1)
+        known_ids = word_ids(tokenizer, True, False, 300_000)
         block = TaskContext.get().partitionId() << 24
         sums: dict[int, int] = {}
         for batch in batches:
@@ -58,28 +61,32 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 4_000_000)
                 held, turn = t.rows.column("held_out").to_pylist(), t.rows.column("turn").to_pylist()
                 n = np.bincount(own[np.repeat([not x for x in held], np.diff(at))], minlength=len(known))
                 low = LOWER[t.buf].tobytes()
+                # words are numbered by falling count in the documents, so that the numbers are small and pack well
+                order = np.argsort(-np.bincount(own), kind="stable")
+                rank = np.empty(len(order), "<u4")
+                rank[order] = np.arange(len(order))
+                first = first[order]
                 ids = [known_ids[low[i:j].decode("utf-8", "replace")] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
                 del low, begin, end, h
                 lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 flat = np.frombuffer(b"".join(ids), "<u4").astype("<u2")
-                for key, c in zip(*_counted(lens, flat, n), strict=True):
+                for key, c in zip(*_counted(lens, flat, n[order]), strict=True):
                     sums[key] = sums.get(key, 0) + c
-                own = own.astype("<u4")
+                own = rank[own]
                 spans = list(zip(at.tolist(), at[1:].tolist(), strict=False))
                 learn = [not x and k is not None and k < ROUNDS for x, k in zip(held, turn, strict=True)]
                 for k in range(0, len(spans), 1000):
                     part = [own[a:b].tobytes() for a, b in spans[k : k + 1000]]
                     m = len(part)
                     lessons = subwords([x if y else b"" for x, y in zip(part, learn[k : k + 1000], strict=True)], lens, flat)
-                    yield rows(m, kind=[DOCS] * m, block=[block] * m, doc_id=t.rows.column("doc_id").slice(k, m).to_pylist(), held_out=held[k : k + m], turn=turn[k : k + m], a=part, b=[x.astype("<u2").tobytes() if y else None for x, y in zip(lessons, learn[k : k + m], strict=True)])
-                yield rows(1, kind=[IDS], block=[block], a=[lens.astype("<u2").tobytes()], b=[flat.tobytes()])
+                    yield rows(m, kind=[DOCS] * m, block=[block] * m, doc_id=t.rows.column("doc_id").slice(k, m).to_pylist(), held_out=held[k : k + m], turn=turn[k : k + m], a=[pack.compress(x) for x in part], b=[x.astype("<u2").tobytes() if y else None for x, y in zip(lessons, learn[k : k + m], strict=True)])
+                yield rows(1, kind=[IDS], block=[block], a=[lens.astype("<u2").tobytes()], b=[flat.tobytes()], c=[order.astype("<u4").tobytes()])
                 # np.unique sorts: words of one part, by the hash's upper bits, stand together
                 part = ((known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 ends = np.searchsorted(part, np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(ends))
-                index = np.arange(len(known), dtype="<u4")
                 cut = [(int(ends[k]), int(ends[k + 1])) for k in full]
-                yield rows(len(full), kind=[PARTS] * len(full), block=[block] * len(full), part=full, a=[known[i:j].tobytes() for i, j in cut], b=[n[i:j].astype("<i8").tobytes() for i, j in cut], c=[index[i:j].tobytes() for i, j in cut])
+                yield rows(len(full), kind=[PARTS] * len(full), block=[block] * len(full), part=full, a=[known[i:j].tobytes() for i, j in cut], b=[n[i:j].astype("<u4").tobytes() for i, j in cut], key=[i for i, _ in cut])
                 block += 1
             if len(sums) > 300_000:
                 yield rows(len(sums), kind=[COUNTS] * len(sums), key=list(sums), n=list(sums.values()))
@@ -325,9 +332,9 @@ def _learner(model: Model, end_id: int, seed: int):
 
 
 def _total(key, table):
-    """Of one part of the words: each block's words' counts in all blocks (a: counts, c: indexes), and in its first row the part's tokens and distinct words."""
+    """Of one part of the words: each block's words' counts in all blocks (a), and in its first row the part's tokens and distinct words."""
     hashes = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
-    n = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("b").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("b").to_pylist()])
     known, own = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(own, n, minlength=len(known)).astype("<i8")
     each, ends = total[own], np.cumsum([0, *map(len, hashes)])
@@ -335,7 +342,7 @@ def _total(key, table):
     first = np.zeros(m, np.int64)
     tokens, distinct = first.copy(), first.copy()
     tokens[0], distinct[0] = total.sum(), (total > 0).sum()
-    return pa.table({"block": table.column("block"), "a": pa.array([each[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary()), "c": table.column("c"), "tokens": pa.array(tokens), "words": pa.array(distinct)})
+    return pa.table({"block": table.column("block"), "a": pa.array([each[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary()), "key": table.column("key"), "tokens": pa.array(tokens), "words": pa.array(distinct)})
 
 
 def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 50_257, end_id: int = 50_256) -> DataFrame:
@@ -353,7 +360,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 5
     blocks(base.select("doc_id", "held_out", "text"), tokenizer, parts).write.partitionBy("kind").parquet(path)
     made = spark.read.schema(SCHEMA).parquet(path)
     rows = made.where(F.col("kind") == DOCS)
-    counted = stored(made.where(F.col("kind") == PARTS).select("part", "block", "a", "b", "c").groupBy("part").applyInArrow(_total, "block long, a binary, c binary, tokens long, words long"))
+    counted = stored(made.where(F.col("kind") == PARTS).select("part", "block", "a", "b", "key").groupBy("part").applyInArrow(_total, "block long, a binary, key long, tokens long, words long"))
     ends = rows.where("not held_out").count()
     total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     n_train, distinct = total[0] + ends, total[1] + (ends > 0)
@@ -374,20 +381,23 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 5
         here, words_ = left.filter(pa.array(kind == DOCS)), left.filter(pa.array(kind == IDS))
         lens, flat = np.frombuffer(words_.column("a")[0].as_py(), "<u2").astype(np.int64), np.frombuffer(words_.column("b")[0].as_py(), "<u2")
         c = np.zeros(len(lens), np.int64)
-        for value, index in zip(right.column("a").to_pylist(), right.column("c").to_pylist(), strict=True):
-            c[np.frombuffer(index, "<u4")] = np.frombuffer(value, "<i8")
+        for value, place in zip(right.column("a").to_pylist(), right.column("key").to_pylist(), strict=True):
+            c[place : place + len(value) // 8] = np.frombuffer(value, "<i8")
+        c = c[np.frombuffer(words_.column("c")[0].as_py(), "<u4")]
         value, seen = np.log10(c + 0.1) - base_log, c > 0
-        texts = here.column("a").to_pylist()
-        base_score, known, n, p = np.empty(len(texts)), np.empty(len(texts), np.int64), np.empty(len(texts), np.int64), np.empty(len(texts))
-        for k in range(0, len(texts), 200):
-            for i, x in enumerate(texts[k : k + 200], k):
+        unpack = zstandard.ZstdDecompressor()
+        packed = here.column("a").to_pylist()
+        base_score, known, n, p = np.empty(len(packed)), np.empty(len(packed), np.int64), np.empty(len(packed), np.int64), np.empty(len(packed))
+        for k in range(0, len(packed), 200):
+            texts = [unpack.decompress(x) for x in packed[k : k + 200]]
+            for i, x in enumerate(texts, k):
                 w = np.frombuffer(x, "<u4")
                 base_score[i], known[i], n[i] = value[w].sum(), seen[w].sum(), len(w)
-            p[k : k + 200] = score_ids(model, subwords(texts[k : k + 200], lens, flat), end_id)
+            p[k : k + 200] = score_ids(model, subwords(texts, lens, flat), end_id)
         return pa.table({"doc_id": here.column("doc_id"), "held_out": here.column("held_out"), "n_tokens": pa.array(n + 1), "n_known": pa.array(known + (ends > 0)), "base_score": pa.array(base_score + np.log10(ends + 0.1) - base_log), "score": pa.array(p)})
 
-    left = made.where(F.col("kind") <= IDS).select("block", "kind", "doc_id", "held_out", "a", F.when(F.col("kind") == IDS, F.col("b")).alias("b"))
-    out = left.groupBy("block").cogroup(counted.select("block", "a", "c").groupBy("block")).applyInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    left = made.where(F.col("kind") <= IDS).select("block", "kind", "doc_id", "held_out", "a", F.when(F.col("kind") == IDS, F.col("b")).alias("b"), "c")
+    out = left.groupBy("block").cogroup(counted.select("block", "a", "key").groupBy("block")).applyInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
