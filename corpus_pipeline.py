@@ -28,13 +28,13 @@ def _as_documents(kept: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of undetermined language: a null text, or one without a letter."""
     model = queries.language_model(spark, sf_dir)
-    return langid.predict(_columns(docs).withColumn("_text", F.col("text")), model, *[c for c in COLUMNS if c != "text"], "_text").where("lang_pred <> 'und'").withColumnRenamed("_text", "text").select(*COLUMNS)
+    return langid.predict(_columns(docs), model, *COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier calls bad."""
     model = queries.quality_model(spark, sf_dir)
-    return quality.score(_columns(docs).withColumn("_text", F.col("text")), model, *[c for c in COLUMNS if c != "text"], "_text").where("predicted = 1").withColumnRenamed("_text", "text").select(*COLUMNS)
+    return quality.score(_columns(docs), model, *COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,8 +65,8 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     lang_pred is `und` (score 0) for a null text, a text without a letter, and every text if the model has no language. score is the posterior of
     the language given; equal posteriors go to the language that sorts first.
     """
-    docs = docs.select(*keep, "text")
-    fields = [f for f in docs.schema.fields if f.name != "text"]
+    docs = docs.select(*dict.fromkeys((*keep, "text")))
+    fields = [f for f in docs.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
 
     def apply(batches):

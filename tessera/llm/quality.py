@@ -134,8 +134,8 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int], bits: int = 16, di
 
 def score(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3) -> DataFrame:
     """The columns `keep`, score (the probability of label 1, were both equally common) and predicted (score >= threshold). A null text is scored as an empty one: by the bias alone."""
-    docs = docs.select(*keep, "text")
-    fields = [f for f in docs.schema.fields if f.name != "text"]
+    docs = docs.select(*dict.fromkeys((*keep, "text")))
+    fields = [f for f in docs.schema.fields if f.name in keep]
 
     def apply(batches):
         for t in chunks(batches):

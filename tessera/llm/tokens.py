@@ -11,7 +11,7 @@ from array import array
 from collections.abc import Callable
 
 #: Words that a process keeps at most; beyond it the cache starts anew.
-MOST_WORDS = 700_000
+MOST_WORDS = 450_000
 
 
 def vocabulary(name: str) -> str:
