@@ -52,4 +52,8 @@ def numbered(df: DataFrame, keys: list[str], salt: Column, order: list[Column],
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Texts may be long, so batches for Python hold at most 2,000 rows from now on, unless the session has chosen."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, "2000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

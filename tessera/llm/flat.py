@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -45,15 +46,16 @@ class Texts:
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[Texts]:
     """The batches' rows with a `text` column in chunks of about `limit` bytes, so that memory doesn't follow the batch; a longer text is a chunk of its own."""
     for batch in batches:
-        raw = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        column = batch.column("text")
+        sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
         begin = held = 0
-        for i, x in enumerate(raw):
-            if held and held + len(x) > limit:
-                yield Texts(batch.slice(begin, i - begin), raw[begin:i])
+        for i, n in enumerate([*sizes.tolist(), limit + 1]):
+            if i == len(batch) or held and held + n > limit:
+                if i > begin:
+                    raw = [x or b"" for x in column.slice(begin, i - begin).cast(pa.binary()).to_pylist()]
+                    yield Texts(batch.slice(begin, i - begin), raw)
                 begin, held = i, 0
-            held += len(x) + 1
-        if begin < len(raw):
-            yield Texts(batch.slice(begin), raw[begin:])
+            held += n + 1
 
 
 def grams(buf: np.ndarray, size: int, n: int, bits: int) -> np.ndarray:
@@ -111,7 +113,7 @@ def _words(buf: np.ndarray, is_word: np.ndarray, lower: np.ndarray | None) -> tu
     if int(lens.max()) < 4096:
         power = _POWERS[within]
     else:  # a very long word: blocks of 4096 bytes, each with a factor of its own
-        power = _POWERS[within & 4095] * mix((within >> 12).astype(np.uint64) + np.uint64(1))
+        power = _POWERS[within & 4095] * np.where(within < 4096, np.uint64(1), mix((within >> 12).astype(np.uint64)))
     value = (buf[at].astype(np.uint64) + np.uint64(1)) * power
     first = np.concatenate(([0], np.cumsum(lens)[:-1]))
     return begin, end, mix(np.add.reduceat(value, first) + lens.astype(np.uint64))

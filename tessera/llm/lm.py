@@ -32,7 +32,7 @@ DOCS, IDS, PARTS, COUNTS = 0, 1, 2, 3
 SCHEMA = "kind int, block long, doc_id long, held_out boolean, turn int, a binary, b binary, c binary, part int, key long, n long"
 
 
-def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 5_000_000) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000) -> DataFrame:
     """docs: doc_id, held_out, text. A null text has no words. Rows by kind:
 
     DOCS a document (a: its words' numbers, packed, b: its subword ids if it takes part in training); IDS a block's words by number (a: how many ids,
@@ -167,7 +167,8 @@ def skips(pairs: np.ndarray, firsts: np.ndarray, mass: np.ndarray, coarse: np.nd
     group = np.zeros((INPUTS, OUTPUTS))
     group[np.arange(INPUTS), coarse] = 1
     sums = p @ group
-    within = np.log10(p / sums[:, coarse])
+    with np.errstate(divide="ignore", invalid="ignore"):  # classes without ids have no mass, and are never asked for
+        within = np.log10(p / sums[:, coarse])
     skip = np.log(np.maximum(sums, 1e-12) / sums.sum(1, keepdims=True))
     return within.astype(np.float32), skip.astype(np.float32)
 
@@ -425,5 +426,5 @@ def _counts_model(rows: DataFrame, vocabulary: int, end_id: int, ends: int) -> M
     pairs[at[at >= 0]] = n[at >= 0]
     firsts[-1 - at[at < 0]] = n[at < 0]
     firsts[fine[end_id]] += ends
-    within, skip = skips(pairs.reshape(INPUTS, -1), firsts, np.bincount(fine, counts + 0.1, minlength=INPUTS) + 1e-3, _coarse(fine, output))
+    within, skip = skips(pairs.reshape(INPUTS, -1), firsts, np.bincount(fine, counts + 0.1, minlength=INPUTS), _coarse(fine, output))
     return Model(fine, output, share, within, skip, start())
