@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,10 @@ class Texts:
         return np.cumsum(marks[:-1]).astype(bool)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[Texts]:
-    """The batches' rows with a `text` column in chunks of about `limit` bytes, so that memory doesn't follow the batch; a longer text is a chunk of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21, forget: bool = True) -> Iterator[Texts]:
+    """A Python worker may serve one operator after another; with `forget` it lets go of the words that tokens.words() kept. The batches' rows with a `text` column in chunks of about `limit` bytes, so that memory doesn't follow the batch; a longer text is a chunk of its own."""
+    if forget and "tokenizers" in sys.modules:
+        vars(sys.modules["tokenizers"]).pop("_words_kept", None)
     for batch in batches:
         column = batch.column("text")
         sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False)

@@ -54,7 +54,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
         block = TaskContext.get().partitionId() << 24
         sums: dict[int, int] = {}
         for batch in batches:
-            for t in chunks([batch], limit):
+            for t in chunks([batch], limit, forget=False):
                 begin, end, h = words(t, NOT_SPACE, LOWER)
                 known, first, own = np.unique(h, return_index=True, return_inverse=True)
                 at = np.searchsorted(begin, np.append(t.starts, t.size))
