@@ -183,7 +183,10 @@ def _in_one_task(adj: DataFrame, start: DataFrame, config: Config) -> tuple[Data
     both = start.select(F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("nbr"), "block", *names).unionByName(adj.select(F.lit(1).alias("kind"), "id", "nbr", F.lit(0).alias("block"), *[F.lit(0.0).alias(c) for c in names]))
 
     def run(batches):
-        t = pa.Table.from_batches(list(batches))
+        batches = list(batches)
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
         kind = t.column("kind").to_numpy()
         ids, nbr = t.column("id").to_numpy(), t.column("nbr").to_numpy()
         v, e = kind == 0, kind == 1
