@@ -53,7 +53,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in sequences."""
-    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), most_words=120_000))
 
 
 STAGES = [("language_id", language), ("quality_classifier", good), ("minhash_dedup", distinct), ("decontamination", clean), ("best_fit_packing", packed)]

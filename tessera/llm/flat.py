@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -44,10 +46,21 @@ class Texts:
         return np.cumsum(marks[:-1]).astype(bool)
 
 
+def release() -> None:
+    """Gives memory that earlier tasks of this process have freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21, forget: bool = True) -> Iterator[Texts]:
     """A Python worker may serve one operator after another; with `forget` it lets go of the words that tokens.words() kept. The batches' rows with a `text` column in chunks of about `limit` bytes, so that memory doesn't follow the batch; a longer text is a chunk of its own."""
-    if forget and "tokenizers" in sys.modules:
-        vars(sys.modules["tokenizers"]).pop("_words_kept", None)
+    if forget:
+        if "tokenizers" in sys.modules:
+            vars(sys.modules["tokenizers"]).pop("_words_kept", None)
+        release()
     for batch in batches:
         column = batch.column("text")
         sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, stored
-from .tokens import byte_bpe
+from .flat import release
+from .tokens import MOST_WORDS, byte_bpe
 
 
 class Capacities:
@@ -92,11 +93,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids (then end_id) cut into pieces; the first may be shorter. A null text is an empty one, so has the end id alone."""
 
     def cut(batches):
-        encode, end = byte_bpe(tokenizer), end_id.to_bytes(4, "little")
+        release()
+        encode, end = byte_bpe(tokenizer, most_words), end_id.to_bytes(4, "little")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out = []

@@ -113,9 +113,9 @@ _ODD = re.compile(r"\s\s|^\s|\s\Z")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_bpe(path: str) -> Callable[[str | None], bytes]:
+def byte_bpe(path: str, most: int = MOST_WORDS) -> Callable[[str | None], bytes]:
     """An encoder for the byte-level vocabulary, to little-endian u32; null is an empty text. A single blank between two other characters always begins a token."""
-    spaced, plain = words(path, True, False), words(path, False, False)
+    spaced, plain = words(path, True, False, most), words(path, False, False, most // 4)
     feed = plain["\n"]
 
     def ids(parts: list[str]) -> bytes:
