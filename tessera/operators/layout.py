@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import DOWN, UP, coordinates, exponents, line_search, potential, pull, repulsion_factor, squared_distance, uniform
 from . import graph
-from .pyramid import Tree, cell_pyramid
+from .pyramid import Tree, bounding_box, cell_pyramid
 from .store import cut
 
 STEPS = (0, *DOWN, *UP)
@@ -221,15 +221,18 @@ def _distributed(spark, adj: DataFrame, start: DataFrame, config: Config, names:
             t = cells.where(F.col("level") == level).toArrow()
             centre = np.stack([t.column(f"com{k}").to_numpy() for k in range(config.dims)], 1).reshape(-1, config.dims)
             tree = (centre, t.column("weight").to_numpy())
+            box = bounding_box(pos.where("deg > 0"), config.dims).first()
+            half = [(box[f"hi{k}"] - box[f"lo{k}"]) / 2 or 0.5 for k in range(config.dims)]
+            grid = ([(box[f"lo{k}"] - h, box[f"hi{k}"] - box[f"lo{k}"] + 2 * h) for k, h in enumerate(half)], level, {c: n for n, c in enumerate(zip(*[t.column(f"c{k}").to_pylist() for k in range(config.dims)], strict=True))})
             own = pos.where((F.col("block") == b) & (F.col("deg") > 0))
-            push = own.mapInArrow(_pushes(tree, names, factor, r, config.depth), "id long, " + ", ".join(f"{c} double" for c in names) + ", " + ", ".join(f"r{k} double" for k in range(config.dims)))
+            push = own.mapInArrow(_pushes(tree, grid, names, factor, r, config.depth), "id long, " + ", ".join(f"{c} double" for c in names) + ", " + ", ".join(f"r{k} double" for k in range(config.dims)))
             pulls = attractive_direction(adj.join(own.select("id"), "id", "left_semi"), pos, a, config.dims)
             moved = cut(push.join(pulls, "id").select("id", *names, *[(F.col(f"g{k}") + F.col(f"r{k}")).alias(f"g{k}") for k in range(config.dims)]))
             _, y = _xy(config.dims)
             loop = F.col("id") == F.col("nbr")
             sums = [F.sum(F.when(loop, 0.0).otherwise(potential(squared_distance([F.col(c) + F.col(f"g{k}") * (s / 32) for k, c in enumerate(names)], y), a))).alias(f"a{s}") for s in STEPS]
             attract = _pairs(adj, pos, config.dims, moved).groupBy("id").agg(*sums)
-            repel = moved.join(own.select("id", "deg"), "id").mapInArrow(_energies(tree, names, factor, r, config.depth), "id long, " + ", ".join(f"r{s} double" for s in STEPS))
+            repel = moved.join(own.select("id", "deg"), "id").mapInArrow(_energies(tree, grid, names, factor, r, config.depth), "id long, " + ", ".join(f"r{s} double" for s in STEPS))
             both = moved.join(attract, "id").join(repel, "id")
             both = line_search_step(both.select("id", *[f"g{k}" for k in range(config.dims)], *[(F.col(f"a{s}") + F.col(f"r{s}")).alias(f"e{s}") for s in STEPS]))
             best = F.least(*[F.when(F.col("step") == s, F.col(f"e{s}")) for s in STEPS])
@@ -241,22 +244,29 @@ def _distributed(spark, adj: DataFrame, start: DataFrame, config: Config, names:
     return pos.select("id", *names, "deg"), spark.createDataFrame(metrics, "iter int, energy double, a double, r double")
 
 
-def _pushes(cells: tuple, names: list[str], factor: float, r: float, depth: int):
+def _own_cell(x: np.ndarray, grid: tuple) -> np.ndarray:
+    """The number of the finest cell that holds each vertex."""
+    box, level, number = grid
+    cells = [np.floor((x[:, k] - low) / width * 2.0**level).astype(np.int64).tolist() for k, (low, width) in enumerate(box)]
+    return np.array([number[c] for c in zip(*cells, strict=True)], np.int64)
+
+
+def _pushes(cells: tuple, grid: tuple, names: list[str], factor: float, r: float, depth: int):
     """Repulsive directions of a batch of vertices: the finest level's cells are the points of a tree."""
 
     def run(batches):
         tree = Tree(*cells, depth)
         for batch in batches:
             x, w = np.stack([batch.column(c).to_numpy() for c in names], 1), batch.column("deg").to_numpy()
-            at, cell = tree.cells(x, None)
-            diff = x[at] - tree.com[cell]
-            f = factor * w[at] * tree.weight[cell] * _repulsion((diff**2).sum(1), r)[1]
+            at, mass, centre = tree.masses(x, _own_cell(x, grid), w)
+            diff = x[at] - centre
+            f = factor * w[at] * mass * _repulsion((diff**2).sum(1), r)[1]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[batch.column(c) for c in names], *[pa.array(np.bincount(at, diff[:, i] * f, minlength=len(x))) for i in range(len(names))]], names=["id", *names, *[f"r{i}" for i in range(len(names))]])
 
     return run
 
 
-def _energies(cells: tuple, names: list[str], factor: float, r: float, depth: int):
+def _energies(cells: tuple, grid: tuple, names: list[str], factor: float, r: float, depth: int):
     """Repulsive energies of a batch of vertices at each trial step."""
 
     def run(batches):
@@ -264,8 +274,8 @@ def _energies(cells: tuple, names: list[str], factor: float, r: float, depth: in
         for batch in batches:
             x, w = np.stack([batch.column(c).to_numpy() for c in names], 1), batch.column("deg").to_numpy()
             g = np.stack([batch.column(f"g{i}").to_numpy() for i in range(len(names))], 1)
-            at, cell = tree.cells(x, None)
-            out = [-factor * w * np.bincount(at, tree.weight[cell] * _repulsion(((x + g * (s / 32))[at] - tree.com[cell]) ** 2 @ np.ones(len(names)), r)[0], minlength=len(x)) for s in STEPS]
+            at, mass, centre = tree.masses(x, _own_cell(x, grid), w)
+            out = [-factor * w * np.bincount(at, mass * _repulsion(((x + g * (s / 32))[at] - centre) ** 2 @ np.ones(len(names)), r)[0], minlength=len(x)) for s in STEPS]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, out)], names=["id", *[f"r{s}" for s in STEPS]])
 
     return run
