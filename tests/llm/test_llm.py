@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, with odd rows: nulls, empty and long texts, repeated rows, clashing columns, empty tables."""
 
+import functools
 import hashlib
 import math
 import re
@@ -86,8 +87,13 @@ def test_plan_is_best_fit_decreasing():
             assert seen == Counter(lengths) and sorted(capacity - x for x in room.values()) == best_fit(lengths, capacity)
 
 
+@functools.cache
+def loaded(path):
+    return tokens._load(path)
+
+
 def whole(path, text):
-    return tokens._load(path).encode(text or "", add_special_tokens=False).ids
+    return loaded(path).encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing(docs, none, rows):
