@@ -3,7 +3,8 @@
 Equal shingle sets are merged first, by a digest of the whole set, so a hot group of copies is one row from then on. Bands propose pairs. In a bucket
 only pairs across classes matter, so pairs are proposed in rounds against a few pivots per bucket (linear in its size), the most central member first;
 buckets whose members have become one class drop out. Members of which too few shingles occur in any other member of what is left can have no link and
-drop out too, and the rest is compared exhaustively. No pair is left out: two members of a bucket end up in one class, compared, or proved unlike.
+drop out too. Once a round settles less than a fifth of what is left, the rest is compared exhaustively, each pair in the first bucket that it shares.
+No pair is left out: two members of a bucket end up in one class, compared, or proved unlike.
 Pairs pass a signature estimate (with a margin of five standard deviations) and are then decided on their full shingle sets. Sets are named by 64 bits
 of their digest.
 """
@@ -142,8 +143,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = stored(members.drop("size").join(central, "set"))
     wanted = stored(members.select("set").distinct().join(reps.select("set", "id", "digest", "signature"), "set"))
     sets = stored(sets_of(docs, wanted.select("set", "id", "digest"), width).dropDuplicates(["set"]))
-    label = links = None
+    label = links = left = None
     for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
         classed = members if label is None else members.join(label, F.col("set") == F.col("id"), "left")
         classed = classed.withColumn("class", F.col("set") if label is None else F.coalesce("component", "set")).select("key", "set", "n", "central", "class")
         if turn:
@@ -152,8 +154,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             if classed.isEmpty():
                 break
             members = linkable(classed, sets, percent)
-            classed = members
-        if turn < ROUNDS:
+            classed, before, left = members, left, members.count()
+            last = last or before is not None and 5 * left > 4 * before
+        if not last:
             # the most central member of each of some random parts of the bucket; of the whole bucket in the first round
             values = F.struct("set", "n", "class", *(["common"] if turn else []))
             part = F.pmod(F.xxhash64("set", F.lit(turn)), F.lit(PIVOTS)) if turn else F.lit(0)
@@ -161,16 +164,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             pivots = classed.groupBy("key").agg(F.array_compact(F.array(*at)).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.set").alias("set2"), F.col("p.n").alias("n2"), F.col("p.class").alias("class2"), *([F.col("p.common").alias("common2")] if turn else []))
             apart = F.col("class") != F.col("class2")
         else:
-            pivots = classed.select("key", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("class").alias("class2"), F.col("common").alias("common2"))
+            classed = classed.join(classed.select("set").distinct().join(reps.select("set", "bands"), "set"), "set")
+            pivots = classed.select("key", *[F.col(c).alias(f"{c}2") for c in ("set", "n", "class", "common", "bands")])
             apart = F.col("class") < F.col("class2")
         if turn:  # what both have in common is at most what either shares with any
             both = F.least("common", "common2")
             apart = apart & (100 * both >= percent * (F.col("n") + F.col("n2") - both))
         alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & apart
+        if last:
+            alike = alike & F.expr("key = get(filter(zip_with(bands, bands2, (x, y) -> if(x = y, x, null)), x -> x is not null), 0)")
         pairs = classed.join(pivots, "key").where(alike).select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
         new = confirmed(pairs, wanted.select("set", "signature"), sets, percent)
         links = stored(new if links is None else links.unionByName(new))
         label = components(links)
+        if last:
+            break
     # classes of sets become classes of documents
     id_of = reps.select("digest", "set", F.col("id").alias("first"))
     named = id_of.join(label, F.col("set") == F.col("id"), "left").select("digest", "first", F.coalesce("component", "set").alias("class"))

@@ -271,6 +271,26 @@ def test_near_duplicates(docs, none, rows, width):
     assert minhash.near_duplicates(none, width).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, minhash.ROUNDS])
+def test_near_duplicate_rest(spark, monkeypatch, rounds):
+    """Pairs far from the centre of their group are left to the exhaustive comparison, which finds their links."""
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    rng = np.random.default_rng(7)
+    text, made = [f"w{i}" for i in range(100)], []
+    for i in range(0, 120, 3):
+        t = list(text)
+        for k in rng.choice(100, 12, replace=False):
+            t[k] = f"e{k % 2}"
+        for j in range(3):
+            t = list(t)
+            t[int(rng.integers(0, 100))] = "e0"
+            made.append((i + j, " ".join(t), None, None))
+    got = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string, lang string, source string"), 2)
+    want = classes(made, 2, 80)
+    assert len({c for _, _, c, _ in want}) > 10
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == want
+
+
 def test_near_duplicate_chain(spark):
     """A hot group of near copies, of which many are linked through others only."""
     rng = np.random.default_rng(5)
