@@ -2,8 +2,8 @@
 
 One pass turns each block of texts into its distinct words (with their subword ids, by a public vocabulary) and its documents (as indexes into those
 words). Word counts are summed over all training rows. The model predicts the class of the next subword by attention over the subwords before it, and
-the subword within its class by its share of all training subwords. It is trained on executors in rounds, whose parameters are averaged; training
-rows are a fixed share of all documents, so that they grow with the corpus. Texts are scored in overlapping windows, each subword once.
+the subword within its class by its share of all training subwords. It is trained on executors in rounds, whose parameters are averaged; each training
+row takes part in one round, with all its windows. Texts are scored in overlapping windows, each subword once.
 """
 
 from __future__ import annotations
@@ -22,20 +22,20 @@ from .tokens import words as word_ids
 
 #: Width of vectors; classes of context and of output; length of a window and how many subwords it scores.
 DIM, INPUTS, OUTPUTS, SPAN, STRIDE = 16, 1024, 32, 32, 24
-#: A document takes part in round k of training if its hash modulo SHARE is k; of its windows every EVERY-th counts.
-SHARE, ROUNDS, EVERY, BATCH = 16, 2, 4, 16
+#: A document takes part in round k of training if its hash modulo ROUNDS is k; windows of a step.
+ROUNDS, BATCH = 2, 16
 SHAPES = {"emb": (INPUTS + 2, DIM), "pos": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, OUTPUTS), "c": (1, OUTPUTS)}
 
 
-#: Rows of a block: its documents; its words' subword ids; words by part of the hash, to be counted; counts of subwords and of their pairs.
-DOCS, IDS, PARTS, COUNTS = 0, 1, 2, 3
+#: Rows of a block: its documents; its words' subword ids; words by part of the hash, to be counted; counts of subwords and of their pairs; texts to learn from.
+DOCS, IDS, PARTS, COUNTS, LESSONS = 0, 1, 2, 3, 4
 SCHEMA = "kind int, block long, doc_id long, held_out boolean, turn int, a binary, b binary, c binary, part int, key long, n long"
 
 
 def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000) -> DataFrame:
     """docs: doc_id, held_out, text. A null text has no words. Rows by kind:
 
-    DOCS a document (a: its words' numbers, packed, b: its subword ids if it takes part in training); IDS a block's words by number (a: how many ids,
+    DOCS a document (a: its words' numbers, packed); LESSONS some training rows of round `turn` (a: how many subwords each, b: their ids, packed); IDS a block's words by number (a: how many ids,
     b: ids, c: their places in the order of hashes); PARTS a block's words whose hash falls into one of `parts`, in that order from place `key` on (a:
     hashes, b: counts in training rows); COUNTS of a task's training rows
     (key: a subword id, or 65536 * (first + 1) + second for neighbours in a word, 65536 * (last + 1) + 65535 for a word's end, -1 - id for its begin).
@@ -74,12 +74,14 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
                     sums[key] = sums.get(key, 0) + c
                 own = rank[own]
                 spans = list(zip(at.tolist(), at[1:].tolist(), strict=False))
-                learn = [not x and k is not None and k < ROUNDS for x, k in zip(held, turn, strict=True)]
                 for k in range(0, len(spans), 1000):
                     part = [own[a:b].tobytes() for a, b in spans[k : k + 1000]]
                     m = len(part)
-                    lessons = subwords([x if y else b"" for x, y in zip(part, learn[k : k + 1000], strict=True)], lens, flat)
-                    yield rows(m, kind=[DOCS] * m, block=[block] * m, doc_id=t.rows.column("doc_id").slice(k, m).to_pylist(), held_out=held[k : k + m], turn=turn[k : k + m], a=[pack.compress(x) for x in part], b=[x.astype("<u2").tobytes() if y else None for x, y in zip(lessons, learn[k : k + m], strict=True)])
+                    yield rows(m, kind=[DOCS] * m, block=[block] * m, doc_id=t.rows.column("doc_id").slice(k, m).to_pylist(), held_out=held[k : k + m], turn=turn[k : k + m], a=[pack.compress(x) for x in part])
+                    for r in range(ROUNDS):
+                        lessons = subwords([x for x, y, z in zip(part, held[k : k + m], turn[k : k + m], strict=True) if not y and z == r], lens, flat)
+                        if lessons:
+                            yield rows(1, kind=[LESSONS], block=[block], turn=[r], a=[np.array([len(x) for x in lessons], "<u4").tobytes()], b=[pack.compress(np.concatenate(lessons).astype("<u2").tobytes())])
                 yield rows(1, kind=[IDS], block=[block], a=[lens.astype("<u2").tobytes()], b=[flat.tobytes()], c=[order.astype("<u4").tobytes()])
                 # np.unique sorts: words of one part, by the hash's upper bits, stand together
                 part = ((known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -94,7 +96,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
         if sums:
             yield rows(len(sums), kind=[COUNTS] * len(sums), key=list(sums), n=list(sums.values()))
 
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SHARE)).cast("int")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(ROUNDS)).cast("int")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", turn.alias("turn"), "text").mapInArrow(run, SCHEMA)
 
 
@@ -261,9 +263,8 @@ def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def train(model: Model, ids: list[np.ndarray], end_id: int, state: dict, rate: float = 0.05, seed: int = 0) -> int:
-    """Adagrad steps on every EVERY-th window of some texts, in place; the number of subwords learnt from."""
+    """Adagrad steps on all windows of some texts, in place; the number of subwords learnt from."""
     x, target, _, _ = windows(ids, model.input, end_id)
-    x, target = x[seed % EVERY :: EVERY], target[seed % EVERY :: EVERY]
     order, mask, learnt = np.random.default_rng(seed).permutation(len(x)), _mask(), 0
     for k in range(0, len(order), BATCH):
         part = order[k : k + BATCH]
@@ -320,11 +321,13 @@ def _learner(model: Model, end_id: int, seed: int):
 
     def learn(batches):
         own = Model(model.input, model.output, model.share, model.fine, model.skip, dict(model.net))
-        n, state = 0, {}
+        n, state, unpack = 0, {}, zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("b").to_pylist()]
-            for k in range(0, len(texts), 500):
-                n += train(own, texts[k : k + 500], end_id, state, seed=seed)
+            for lens, ids in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                ends = np.cumsum(np.frombuffer(lens, "<u4").astype(np.int64))
+                texts = np.split(np.frombuffer(unpack.decompress(ids), "<u2").astype(np.int64), ends[:-1])
+                for k in range(0, len(texts), 500):
+                    n += train(own, texts[k : k + 500], end_id, state, seed=seed)
         if n:
             values = np.concatenate([own.net[k].ravel() for k in SHAPES]).astype(np.float64) * n
             yield pa.record_batch({"i": pa.array(np.arange(len(values) + 1), pa.int32()), "x": pa.array(np.append(values, n))})
@@ -368,7 +371,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 5
     base_log = float(np.log10(n_train + 0.1 * (distinct + 1)))
     model = _counts_model(made.where(F.col("kind") == COUNTS).select("key", "n"), vocabulary, end_id, ends)
     for turn in range(ROUNDS):
-        lessons = rows.where((F.col("turn") == turn) & ~F.col("held_out")).select("b")
+        lessons = made.where((F.col("kind") == LESSONS) & (F.col("turn") == turn)).select("a", "b")
         new = lessons.mapInArrow(_learner(model, end_id, turn), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # a row per parameter
         x = new.column("x").to_numpy()[np.argsort(new.column("i").to_numpy())]
         if len(x):

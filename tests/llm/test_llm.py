@@ -226,6 +226,20 @@ def test_lm(docs, none, rows):
     assert lm.score(none, held_out(10), path).count() == 0
 
 
+def test_lm_learns_from_all_rows(docs, rows):
+    """Each training row is a lesson of one round, and all its subwords are learnt from, and its end."""
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    made = lm.blocks(docs.select("doc_id", held_out(10).alias("held_out"), "text"), path, 4)
+    known = tokens.words(path, True, False, 300_000)
+    want = [sum(len(known[x]) // 4 for x in SPACED.findall((t or "").translate(LOW))) for d, t, _, _ in rows if crc(d, 10) not in (0, None)]
+    lessons = made.where(F.col("kind") == lm.LESSONS).select("turn", "a", "b").toArrow()
+    assert Counter(n for x in lessons.column("a").to_pylist() for n in np.frombuffer(x, "<u4").tolist()) == Counter(want)
+    assert set(lessons.column("turn").to_pylist()) <= set(range(lm.ROUNDS))
+    model = lm._counts_model(made.where(F.col("kind") == lm.COUNTS).select("key", "n"), 50_257, 50_256, len(want))
+    (out,) = lm._learner(model, 50_256, 0)(lessons.to_batches())
+    assert out.column("x")[-1].as_py() == sum(want) + len(want)
+
+
 def test_lm_probabilities():
     """Windows score each subword once, and the next subword's probabilities sum to 1."""
     rng = np.random.default_rng(0)
