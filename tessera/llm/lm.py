@@ -21,7 +21,7 @@ from .flat import LOWER, NOT_SPACE, chunks, words
 from .tokens import words as word_ids
 
 #: Width of vectors; classes of context and of output; length of a window and how many subwords it scores.
-DIM, INPUTS, OUTPUTS, SPAN, STRIDE = 16, 1024, 32, 32, 24
+DIM, INPUTS, OUTPUTS, SPAN, STRIDE = 16, 2048, 256, 32, 24
 #: A document takes part in round k of training if its hash modulo ROUNDS is k; windows of a step.
 ROUNDS, BATCH = 2, 16
 SHAPES = {"emb": (INPUTS + 2, DIM), "pos": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, OUTPUTS), "c": (1, OUTPUTS)}
@@ -295,7 +295,7 @@ def subwords(docs: list[bytes], lens: np.ndarray, flat: np.ndarray) -> list[np.n
     return out
 
 
-def score_ids(model: Model, ids: list[np.ndarray], end_id: int, per_batch: int = 256) -> np.ndarray:
+def score_ids(model: Model, ids: list[np.ndarray], end_id: int, per_batch: int = 64) -> np.ndarray:
     """log10 probability of each text with its end."""
     out, mask = np.zeros(len(ids)), _mask()
     group, held = [], 0

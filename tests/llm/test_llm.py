@@ -240,6 +240,12 @@ def test_lm_learns_from_all_rows(docs, rows):
     assert out.column("x")[-1].as_py() == sum(want) + len(want)
 
 
+def test_lm_classes():
+    """Attention chooses among many classes: ids with counts like those of words fall into far over 32."""
+    _, output, _ = lm.classes(1e6 / np.arange(1, 50_258))
+    assert len(set(output.tolist())) > 128
+
+
 def test_lm_probabilities():
     """Windows score each subword once, and the next subword's probabilities sum to 1."""
     rng = np.random.default_rng(0)
