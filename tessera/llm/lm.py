@@ -82,7 +82,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
                         lessons = subwords([x for x, y, z in zip(part, held[k : k + m], turn[k : k + m], strict=True) if not y and z == r], lens, flat)
                         if lessons:
                             yield rows(1, kind=[LESSONS], block=[block], turn=[r], a=[np.array([len(x) for x in lessons], "<u4").tobytes()], b=[pack.compress(np.concatenate(lessons).astype("<u2").tobytes())])
-                yield rows(1, kind=[IDS], block=[block], a=[lens.astype("<u2").tobytes()], b=[flat.tobytes()], c=[order.astype("<u4").tobytes()])
+                yield rows(1, kind=[IDS], block=[block], a=[lens.astype("<u4").tobytes()], b=[flat.tobytes()], c=[order.astype("<u4").tobytes()])
                 # np.unique sorts: words of one part, by the hash's upper bits, stand together
                 part = ((known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 ends = np.searchsorted(part, np.arange(parts + 1))
@@ -383,7 +383,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 5
     def final(key, left, right):
         kind = left.column("kind").to_numpy()
         here, words_ = left.filter(pa.array(kind == DOCS)), left.filter(pa.array(kind == IDS))
-        lens, flat = np.frombuffer(words_.column("a")[0].as_py(), "<u2").astype(np.int64), np.frombuffer(words_.column("b")[0].as_py(), "<u2")
+        lens, flat = np.frombuffer(words_.column("a")[0].as_py(), "<u4").astype(np.int64), np.frombuffer(words_.column("b")[0].as_py(), "<u2")
         c = np.zeros(len(lens), np.int64)
         for value, place in zip(right.column("a").to_pylist(), right.column("key").to_pylist(), strict=True):
             c[place : place + len(value) // 8] = np.frombuffer(value, "<i8")

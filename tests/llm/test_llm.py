@@ -240,6 +240,19 @@ def test_lm_learns_from_all_rows(docs, rows):
     assert out.column("x")[-1].as_py() == sum(want) + len(want)
 
 
+def test_lm_very_long_word(spark, rows):
+    """A word of more than 65,535 subwords counts with all of them, and other documents of its block score as without it."""
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    word = "".join(np.random.default_rng(2).choice(list("0123456789!?%"), 150_000))
+    assert len(whole(path, word)) > 65_535
+    made = [(i, t) for i, (_, t, _, _) in enumerate(rows[:40], 1)]
+    score = lambda x: {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(x, "doc_id long, text string").coalesce(1), F.col("doc_id") == 0, path).collect()}
+    # the word occurs twice, so that words that occur once are numbered after it
+    alone, beside = score(made), score([*made, (0, f"{word} {word}")])
+    assert beside.pop(0) < -2 * 65_536
+    assert beside.keys() == alone.keys() and all(abs(beside[d] - x) < 1e-3 for d, x in alone.items())
+
+
 def test_lm_classes():
     """Attention chooses among many classes: ids with counts like those of words fall into far over 32."""
     _, output, _ = lm.classes(1e6 / np.arange(1, 50_258))
