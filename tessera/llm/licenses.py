@@ -33,7 +33,8 @@ LICENSES = (
     ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e(?: v(?:ersion)?)? ?1 1"),
     ("apache", "apache", r"apache(?: software)? licen[sc]e"),
     ("mit-0", "mit", r"mit (?:no attribution|0)"),
-    ("mit", "mit", r"(?:mit|expat)(?: x11)?"),
+    ("mit", "mit", r"mit(?: x11)?"),
+    ("mit", "expat", r"expat(?: x11)?"),
     ("x11", "x11", r"x11"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)"),
@@ -71,18 +72,23 @@ LICENSES = (
     ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?"),
 )
 
+#: Verbs of the phrasing that may go without the word licence.
+GIVEN = "released|distributed|available|published|provided|covered|shared|offered"
+
 #: Phrasings: a regex in which @ is the name, and how sure a match is.
 PHRASINGS = (
     (r"(?:licen[sc]ed|dual licen[sc]ed|re ?licen[sc]ed) (?:under|by|with|as) (?:(?:the|a) )?(?:terms (?:and conditions )?of (?:the )?)?@(?: (?:international|public))?(?: licen[sc]e)?", 1.0),
-    (r"(?:released|distributed|available|published|provided|covered|shared|offered) (?:under|by) (?:(?:the|a) )?(?:terms (?:and conditions )?of (?:the )?)?@(?: (?:international|public))?(?: licen[sc]e)?", 0.95),
+    (rf"(?:{GIVEN}) (?:under|by) (?:(?:the|a) )?(?:terms (?:and conditions )?of (?:the )?)?@(?: (?:international|public))?(?: licen[sc]e)?", 0.95),
     (r"spdx licen[sc]e identifier @", 1.0),
     (r"(?:subject to|according to|in accordance with|see|under) (?:the )?(?:terms of (?:the )?)?@ licen[sc]e", 0.9),
     (r"(?:licen[sc]e|licen[sc]es|licen[sc]ing) (?:is |are |type )?(?:the )?@", 0.8),
     (r"@ licen[sc]e", 0.7),
 )
 
-#: A text without any of these holds no base phrase and fits no rule.
-MARKS = "(?i)licen[sc]|apache|(?<![a-z0-9])cc[^a-z0-9]+by(?![a-z0-9])"
+#: What parts words in a text as it is.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A text without any of these holds no base phrase and fits no rule: all phrasings hold licen[sc] but that with the verbs, and all base phrases but cc by nc.
+MARKS = f"(?i)licen[sc]|(?:{GIVEN}){GAP}(?:under|by){GAP}|cc{GAP}by{GAP}nc"
 
 
 def rules() -> list[dict]:

@@ -402,6 +402,23 @@ def test_license_rules(spark):
     assert got[5]["n_base"] == 2 and got[0]["score"] == 1.0
 
 
+def test_license_marks(spark, monkeypatch):
+    """Marks and keywords only spare work: scans without them find the same."""
+    names = ["GPL v3", "GNU LGPL 2.1", "AGPL-3.0", "BSD", "FreeBSD", "0BSD", "MIT", "MIT/X11", "Expat", "ISC", "X11", "WTFPL", "zlib", "Unlicense", "CC0", "CC BY-SA 4.0", "cc-by nc", "CDDL", "EUPL", "MPL-2.0", "PostgreSQL", "Artistic", "Creative Commons Attribution", "GNU General Public License", "Apache 2.0", "Python Software Foundation", "Mozilla Public Licence 2.0"]
+    ways = ["Released under the %s", "DISTRIBUTED\tunder\n%s.", "available under terms of the %s", "published\u2014by %s", "offered by: a %s", "Licensed under the %s license", "SPDX-License-Identifier: %s", "under the %s licence", "licence is %s", "%s license", "the %s alone"]
+    docs = spark.createDataFrame(list(enumerate(w % n for w in ways for n in names)), "doc_id int, text string")
+    found = lambda: {r["doc_id"]: tuple(r) for r in licenses.digest(licenses.scan(docs)).collect()}
+    marked = found()
+    rules = licenses.rules()
+    monkeypatch.setattr(licenses, "MARKS", "")
+    monkeypatch.setattr(licenses, "rules", lambda: [r | {"keyword": ""} for r in rules])
+    assert marked == found()
+    texts = ["Released under the GPL v3", "distributed under BSD", "available under MIT", "published under the WTFPL", "Licensed under the Expat license"]
+    monkeypatch.undo()
+    got = licenses.digest(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))).collect()
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["gpl-3", "bsd", "mit", "wtfpl", "mit"]
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_twin(spark, name):
     import duckdb
