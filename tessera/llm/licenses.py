@@ -2,7 +2,7 @@
 
 Each rule has a keyword; its regex runs only on texts that hold the keyword, and no rule runs on a text without any mark of a licence. A detection
 whose words lie within those of another is dropped; of equal detections the rule that comes first stands. The rules are the products of licences'
-names and phrasings, in order of priority.
+names and phrasings, in order of priority, then standard notices and passages of licences' bodies.
 """
 
 from __future__ import annotations
@@ -85,15 +85,42 @@ PHRASINGS = (
     (r"@ licen[sc]e", 0.7),
 )
 
+#: Notices and passages of bodies: label, keyword (words that every match holds), regex, how sure a match is. More exact ones come first.
+NOTICES = (
+    *((label, "published by the free software foundation", rf"redistribute it and or modify it under the terms of the gnu {kind}general public licen[sc]e as published by the free software foundation(?: inc)? (?:either )?version {v}(?: 0)?(?: of the licen[sc]e)?(?: or at your option any later version)?", 1.0) for label, kind, v in (("gpl-3", "", "3"), ("gpl-2", "", "2"), ("agpl-3", "affero ", "3"), ("lgpl-3", "lesser ", "3"), ("lgpl-2.1", "lesser ", "2 1"), ("lgpl-2", "library ", "2"))),
+    ("gpl-3", "is a free copyleft", r"the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", 1.0),
+    ("agpl-3", "is a free copyleft", r"the gnu affero general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", 1.0),
+    ("lgpl-3", "version of the gnu lesser", r"this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3 of the gnu general public licen[sc]e", 1.0),
+    ("gpl-2", "by contrast the gnu", r"by contrast the gnu general public licen[sc]e is intended to guarantee your freedom to share and change free software", 0.95),
+    ("lgpl-2.1", "by contrast the gnu", r"by contrast the gnu general public licen[sc]es are intended to guarantee your freedom to share and change free software", 0.8),
+    ("apache-2", "except in compliance with the license", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 1.0),
+    ("apache-2", "use reproduction and distribution", r"apache license version 2 0 january 2004(?: https?)?(?: www apache org licenses)? terms and conditions for use reproduction and distribution", 1.0),
+    ("mpl-2", "source code form is subject", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 1.0),
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", 1.0),
+    ("mit-0", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so(?! subject)", 0.95),
+    ("bsl-1", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e", 1.0),
+    ("ofl-1.1", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of the font software", 1.0),
+    ("0bsd", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)", 1.0),
+    ("isc", "permission to use copy modify", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 1.0),
+    ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.9),
+    ("bsd-4-clause", "all advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.95),
+    ("bsd-3-clause", "endorse or promote products", r"neither the names? of (?:[^ ]+ ){1,20}may be used to endorse or promote products derived from this software without specific prior written permission", 0.9),
+    ("zlib", "as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", 1.0),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain", 1.0),
+    ("wtfpl", "you want to public", r"do what the fuck you want to public licen[sc]e", 1.0),
+    ("cc0-1", "associated a work with this deed", r"the person who associated a work with this deed has dedicated the work to the public domain", 1.0),
+)
+
 #: What parts words in a text as it is.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text without any of these holds no base phrase and fits no rule: all phrasings hold licen[sc] but that with the verbs, and all base phrases but cc by nc.
-MARKS = f"(?i)licen[sc]|(?:{GIVEN}){GAP}(?:under|by){GAP}|cc{GAP}by{GAP}nc"
+#: A text without any of these holds no base phrase and fits no rule: all phrasings hold licen[sc] but that with the verbs, and all base phrases but cc by nc; a notice that need not hold it has its keyword.
+MARKS = "|".join([f"(?i)licen[sc]|(?:{GIVEN}){GAP}(?:under|by){GAP}|cc{GAP}by{GAP}nc", *sorted({keyword.replace(" ", GAP) for _, keyword, pattern, _ in NOTICES if "licen" not in pattern})])
 
 
 def rules() -> list[dict]:
-    """All rules in order; the base phrases come last, as detections of their own."""
+    """All rules in order: names in phrasings, notices, and last the base phrases, as detections of their own."""
     out = [{"rule": i * len(LICENSES) + k, "label": label, "keyword": keyword, "pattern": f" {phrase.replace('@', name)}(?= )", "sure": sure} for i, (phrase, sure) in enumerate(PHRASINGS) for k, (label, keyword, name) in enumerate(LICENSES)]
+    out += [{"rule": len(out) + i, "label": label, "keyword": keyword, "pattern": f" {pattern}(?= )", "sure": sure} for i, (label, keyword, pattern, sure) in enumerate(NOTICES)]
     return out + [{"rule": len(out) + i, "label": label, "keyword": phrase, "pattern": f" {phrase}(?= )", "sure": 0.9} for i, (phrase, label) in enumerate(BASE)]
 
 

@@ -402,6 +402,29 @@ def test_license_rules(spark):
     assert got[5]["n_base"] == 2 and got[0]["score"] == 1.0
 
 
+def test_license_notices(spark):
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation; either version %s of the License, or (at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    three = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    texts = {
+        gnu % ("", 3): "gpl-3", gnu % ("", 2): "gpl-2", gnu % ("Affero ", 3): "agpl-3", gnu % ("Lesser ", "2.1"): "lgpl-2.1", gnu % ("Lesser ", 3): "lgpl-3", gnu % ("Library ", 2): "lgpl-2",
+        mit + ", subject to the following conditions:": "mit", mit + ".": "mit-0", bsd: "bsd", bsd + three: "bsd,bsd-3-clause", isc + ".": "0bsd",
+        isc + ", provided that the above copyright notice and this permission notice appear in all copies.": "isc", "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Redistribution and use of this path": "",
+    }
+    got = licenses.digest(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))).collect()
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == list(texts.values())
+
+
+def test_license_notice_marks():
+    """The keyword of each notice stands in its pattern, and a text that fits one has a mark."""
+    for _, keyword, pattern, _ in licenses.NOTICES:
+        text = pattern.replace("licen[sc]", "licens")
+        assert keyword in text and re.search(licenses.MARKS, text)
+
+
 def test_license_marks(spark, monkeypatch):
     """Marks and keywords only spare work: scans without them find the same."""
     names = ["GPL v3", "GNU LGPL 2.1", "AGPL-3.0", "BSD", "FreeBSD", "0BSD", "MIT", "MIT/X11", "Expat", "ISC", "X11", "WTFPL", "zlib", "Unlicense", "CC0", "CC BY-SA 4.0", "cc-by nc", "CDDL", "EUPL", "MPL-2.0", "PostgreSQL", "Artistic", "Creative Commons Attribution", "GNU General Public License", "Apache 2.0", "Python Software Foundation", "Mozilla Public Licence 2.0"]
