@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .flat import NOT_SPACE, Texts, chunks, grams, mix, words
 
@@ -55,8 +56,9 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 16_000_000) -> tuple[list[tuple[str, int]], tuple[int, int]]:
-    """At most per_class labelled texts of each label, in the order of a hash of the id and up to max_bytes of text, and the number of labelled rows of each label.
+    """Texts of at most per_class documents of each label, and the number of labelled rows of each label.
 
+    Each label has half of max_bytes (of UTF-8), filled in the order of a hash of the id by texts of any length; the text at which it is full is cut there.
     labels: doc_id, quality. A document labelled both ways counts as 0; other and null labels, null ids and null texts don't count.
     """
     rows = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -68,17 +70,24 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes:
         return [], (0, 0)
     spark = docs.sparkSession
     small = spark.createDataFrame(list(ids.items()), rows.select("doc_id", "quality").schema)
-    sized = docs.where("text is not null").join(F.broadcast(small), "doc_id").select("doc_id", "quality", "text", F.octet_length("text").alias("size"))
-    # the bytes are bounded on the executors: a text that alone exceeds its share isn't learnt from
-    share = max_bytes // (2 * per_class)
-    got = sized.where(F.col("size") <= 8 * share).select("doc_id", "quality", "text").collect()
-    got.sort(key=lambda r: (hash_id(r[0]), r[0], r[2]))
-    out, held = [], 0
-    for _, q, text in got:
-        held += len(text)
-        if held > max_bytes:
-            break
-        out.append((text, q))
+    mine = docs.where("text is not null").join(F.broadcast(small), "doc_id").select("doc_id", "quality", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+    # sizes come first, so that the texts that follow are bounded by bytes, whatever their lengths
+    found = sorted((hash_id(i), i, size, h, q, n) for i, q, size, h, n in mine.groupBy("doc_id", "quality", "size", "h").agg(F.count("*").alias("n")).collect())
+    room, take = {0: max_bytes // 2, 1: max_bytes // 2}, []
+    for _, i, size, h, q, n in found:
+        # all copies that fit, and the begin of the one that does not
+        copies = n if size == 0 else min(n, room[q] // size)
+        rest = min(room[q] - copies * size, size) if copies < n else 0
+        if copies or rest:
+            take.append((i, h, copies, rest, size if copies else rest))
+        room[q] -= copies * size + rest
+    if not take:
+        return [], (counts.get(0, 0), counts.get(1, 0))
+    wanted = spark.createDataFrame(take, StructType([small.schema["doc_id"], *[StructField(x, LongType()) for x in ("h", "copies", "rest", "bytes")]]))
+    cut = F.substring(F.encode("text", "utf-8"), F.lit(1), F.col("bytes").cast("int"))
+    got = mine.join(F.broadcast(wanted), ["doc_id", "h"]).groupBy("doc_id", "quality", "h").agg(F.first(cut).alias("text"), F.first("copies").alias("copies"), F.first("rest").alias("rest")).collect()
+    got = sorted((hash_id(r["doc_id"]), r["doc_id"], bytes(r["text"]).decode("utf-8", "ignore"), r["quality"], r["copies"], bytes(r["text"])[: r["rest"]].decode("utf-8", "ignore") if r["rest"] else None) for r in got)
+    out = [x for _, _, text, q, copies, rest in got for x in [(text, q)] * copies + [(rest, q)] * (rest is not None)]
     return out, (counts.get(0, 0), counts.get(1, 0))
 
 

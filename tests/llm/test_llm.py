@@ -180,6 +180,22 @@ def test_quality(spark, docs, none, rows):
     assert quality.score(none, blank, "doc_id").count() == 0 and quality.score(docs, blank, "doc_id").count() == len(rows)
 
 
+def test_quality_sample(spark):
+    """Long texts are learnt from, and each label has its own bytes, filled in the order of the hash."""
+    texts = {i: (f"é{i} " if i % 2 else f"word{i} ") * (20_000 if i < 4 else 30) for i in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7]), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*texts, 50]], "doc_id long, quality int, toxic int")
+    got, _ = quality.sample(docs, labels)
+    assert Counter(got) == Counter([(t, i % 2) for i, t in texts.items()] + [(texts[7], 1)])
+    got, _ = quality.sample(docs, labels, max_bytes=100_000)
+    by = [[t for t, x in got if x == q] for q in (0, 1)]
+    for q in (0, 1):
+        assert 49_996 <= sum(len(t.encode()) for t in by[q]) <= 50_000
+        order = sorted((quality.hash_id(i), t) for i, t in texts.items() for _ in range(1 + (i == 7)) if i % 2 == q)
+        whole = [t for _, t in order][: len(by[q])]
+        assert by[q][:-1] == whole[:-1] and whole[-1].startswith(by[q][-1])
+
+
 def test_quality_held_out(spark):
     r = QUERIES["op3_quality_classifier"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     assert r.where("quality = predicted").count() > 0.9 * r.count()
