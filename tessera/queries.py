@@ -131,7 +131,7 @@ def detect_communities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layout_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.run_layout(trade(spark, sf), Config(iterations=10))[1]
+    return layout.run_layout(trade(spark, sf), Config())[1]
 
 
 def _steps_input(spark: SparkSession) -> DataFrame:

@@ -28,3 +28,8 @@ def test_twin(spark, db, name):
     assert sorted(rel.columns) == names
     at = [rel.columns.index(n) for n in names]
     assert Counter(tuple(r[n] for n in names) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_layout_metrics_runs_the_whole_schedule(spark):
+    rows = queries.QUERIES["layout_metrics"](spark, "/root/testdata/sf0.001").orderBy("iter").collect()
+    assert [r["iter"] for r in rows] == list(range(1, 101))
