@@ -55,31 +55,43 @@ def attractive_direction(adj: DataFrame, pos: DataFrame, a: float, dims: int = 3
     return _pairs(adj, pos, dims).groupBy("id").agg(*[F.sum((y[i] - x[i]) * f).alias(f"g{i}") for i in range(dims)])
 
 
-def _points(pos: DataFrame, dims: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, coordinates and degrees of all points, of which there are `limit` at most."""
-    t = pos.select("id", "deg", *coordinates(dims)).limit(limit + 1).toArrow()
-    if t.num_rows > limit:
-        raise ValueError(f"over {limit} points: use the cell pyramid")
-    return t.column("id").to_numpy(), np.stack([t.column(c).to_numpy() for c in coordinates(dims)], 1).reshape(-1, dims), t.column("deg").to_numpy()
+def exact_repulsion(pos: DataFrame, r: float, factor: float, dims: int = 3, block: int = 4096) -> DataFrame:
+    """id, energy, g0..: repulsion by all other vertices, pair by pair.
 
+    Vertices are dealt into blocks by hash, and each pair of blocks is compared by numpy, so the work grows with the square of the vertices, a task's memory does not.
+    """
+    names, forces = coordinates(dims), [f"g{i}" for i in range(dims)]
+    spark = pos.sparkSession
+    pos = cut(pos.select("id", "deg", *names))
+    b = max(1, -(-pos.count() // block))
+    dealt = pos.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
+
+    def blob(key, table):
+        data = np.stack([table.column(c).to_numpy() for c in ("deg", *names)], 1)
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary()), "ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary())})
 
-def exact_repulsion(pos: DataFrame, r: float, factor: float, dims: int = 3, limit: int = 20_000) -> DataFrame:
-    """id, energy, g0..: repulsion by all other vertices, pair by pair. Only for up to `limit` vertices, whose positions are sent to all tasks."""
-    ids, x, w = _points(pos, dims, limit)
+    # a block is a row of bounded size, and each block meets each other once
+    blocks = cut(dealt.groupBy("b").applyInArrow(blob, "b int, data binary, ids binary"))
+    other = blocks.select(F.col("b").alias("b2"), F.col("data").alias("data2"), F.col("ids").alias("ids2"))
+    pairs = blocks.withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).repartition(min(b * b, 64 * spark.sparkContext.defaultParallelism), "b", "b2").join(other, "b2")
 
     def run(batches):
         for batch in batches:
-            own, p, m = batch.column("id").to_numpy(), np.stack([batch.column(c).to_numpy() for c in coordinates(dims)], 1).reshape(-1, dims), batch.column("deg").to_numpy()
-            for k in range(0, len(own), 256):
-                diff = p[k : k + 256, None, :] - x[None]
-                d2 = (diff**2).sum(2)
-                d2[own[k : k + 256, None] == ids[None]] = 0
-                e, g = _repulsion(d2, r)
-                e = -factor * m[k : k + 256] * (e * w).sum(1)
-                g = factor * m[k : k + 256, None] * (diff * (g * w)[:, :, None]).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 256]), pa.array(e), *[pa.array(g[:, i]) for i in range(dims)]], names=["id", "energy", *[f"g{i}" for i in range(dims)]])
-
-    return pos.select("id", "deg", *coordinates(dims)).mapInArrow(run, "id long, energy double, " + ", ".join(f"g{i} double" for i in range(dims)))
+            for data, ids, data2, ids2 in zip(*[batch.column(c).to_pylist() for c in ("data", "ids", "data2", "ids2")], strict=True):
+                p, q = np.frombuffer(data).reshape(-1, dims + 1), np.frombuffer(data2).reshape(-1, dims + 1)
+                own, w, x = np.frombuffer(ids, np.int64), q[:, 0], q[:, 1:]
+                ids2 = np.frombuffer(ids2, np.int64)
+                for k in range(0, len(own), 256):
+                    m, diff = p[k : k + 256, 0], p[k : k + 256, None, 1:] - x[None]
+                    d2 = (diff**2).sum(2)
+                    d2[own[k : k + 256, None] == ids2[None]] = 0
+                    e, g = _repulsion(d2, r)
+                    e = -factor * m * (e * w).sum(1)
+                    g = factor * m[:, None] * (diff * (g * w)[:, :, None]).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 256]), pa.array(e), *[pa.array(g[:, i]) for i in range(dims)]], names=["id", "energy", *forces])
+
+    parts = pairs.select("data", "ids", "data2", "ids2").mapInArrow(run, "id long, energy double, " + ", ".join(f"{c} double" for c in forces))
+    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("energy", *forces)])
 
 
 def _repulsion(d2: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:

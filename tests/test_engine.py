@@ -135,3 +135,17 @@ def test_edge_file_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from edges_seen").count() == 2
+
+
+def test_exact_repulsion_of_any_size(spark):
+    """Over 20,000 vertices too, and the same from many blocks as from one."""
+    from pyspark.sql import functions as F
+
+    pos = layout.init_positions(spark.range(20_500).select("id", F.when(F.col("id") < 300, F.col("id") % 5 + 1.0).otherwise(0.0).alias("deg")))
+    few = {r["id"]: r[1:] for r in layout.exact_repulsion(pos.where("id < 300"), 0.9, 0.01).collect()}
+    blocks = {r["id"]: r[1:] for r in layout.exact_repulsion(pos.where("id < 300"), 0.9, 0.01, block=70).collect()}
+    # vertices without edges weigh nothing
+    many = {r["id"]: r[1:] for r in layout.exact_repulsion(pos, 0.9, 0.01).collect()}
+    assert len(many) == 20_500 and few.keys() == blocks.keys()
+    for i, x in few.items():
+        assert np.allclose(x, blocks[i]) and np.allclose(x, many[i])
