@@ -5,16 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder (spark.checkpoint.dir; a temporary one where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's name in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that is unset a temporary folder becomes it, if the session is local, as in tests; elsewhere other machines could not read such a folder, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: no lineage is left, and a lost executor costs nothing."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Deletes what cut() wrote of these, once nothing that is still to be computed reads it; others are left alone."""
+    for df in frames:
+        path = getattr(df, "__dict__", {}).pop("_cut_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
