@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's name in the folder that the cluster shares (spark.checkpoint.dir); where that is unset, as in tests, a temporary folder becomes it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: no lineage is left, and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..operators.store import cut as stored
+from ..operators.store import drop, shared_dir
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:

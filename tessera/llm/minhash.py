@@ -1,12 +1,11 @@
 """Near-duplicate classes: MinHash with banding, signature verification, exact confirmation and connected components.
 
-Equal shingle sets are merged first, by a digest of the whole set, so a hot group of copies is one row from then on. Bands propose pairs. In a bucket
-only pairs across classes matter, so pairs are proposed in rounds against a few pivots per bucket (linear in its size), the most central member first;
-buckets whose members have become one class drop out. Members of which too few shingles occur in any other member of what is left can have no link and
-drop out too. Once a round settles less than a fifth of what is left, the rest is compared exhaustively, each pair in the first bucket that it shares.
-No pair is left out: two members of a bucket end up in one class, compared, or proved unlike.
-Pairs pass a signature estimate (with a margin of five standard deviations) and are then decided on their full shingle sets. Sets are named by 64 bits
-of their digest.
+Equal shingle sets are merged first, by a digest of the whole set, so a hot group of copies is one row from then on. Bands make buckets. Each bucket has a
+pivot, its most central member, so a hot group has few pivots, and buckets with one pivot are one group: a pivot and all sets that share a bucket with it
+as theirs. Sets linked to the pivot are of one class, and need no comparison with each other; only the others are compared with the rest of the group,
+in blocks of bounded bytes, by counting what sets have in common. So no pair that shares a band is left out, and a task returns no pairs but a spanning
+forest of the links that it found. Pairs pass a signature estimate (with a margin of five standard deviations) before full sets decide. Sets are named by
+64 bits of their digest.
 """
 
 from __future__ import annotations
@@ -18,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..operators.components import components
+from ..operators.store import cut, drop
 from .flat import LOWER, NOT_SPACE, chunks, mix, words
 
 BANDS, ROWS, SEED = 38, 5, 20240501
-PIVOTS, ROUNDS = 8, 3
+#: Of a block of a group: bytes of shingles, and sets.
+BLOCK_BYTES, BLOCK_SETS = 12_000_000, 8_000
+#: Comparisons of one step, which bound its memory.
+STEP = 1_000_000
 
 
 def shingle_sets(t, width: int) -> list[np.ndarray]:
@@ -64,65 +67,194 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null without shingles), signature (binary: the lowest byte of each minimum), bands (array of band hashes)."""
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def banded(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, digest (of the set; null without shingles), bands (binary: a 64-bit hash for each band)."""
 
     def sign(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.binary())])
         for t in chunks(batches):
             sets = shingle_sets(t, width)
             full = [i for i, s in enumerate(sets) if len(s)]
-            digest, signature, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            digest, bands = [None] * len(sets), [None] * len(sets)
             if full:
                 sig = minima([sets[i] for i in full], BANDS * ROWS)
-                low = sig.astype(np.uint8)
                 band = np.zeros((len(full), BANDS), np.uint64)
                 for r in range(ROWS):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                band = band.view(np.int64).tolist()
                 for k, i in enumerate(full):
-                    digest[i], signature[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), low[k].tobytes(), band[k]
-            yield pa.RecordBatch.from_arrays([t.rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                    digest[i], bands[i] = digest_of(sets[i]), band[k].tobytes()
+            yield pa.RecordBatch.from_arrays([t.rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.binary())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands binary")
+
+
+def keyed(reps: DataFrame) -> DataFrame:
+    """set, key: a row per band."""
+
+    def spread(batches):
+        for batch in batches:
+            if len(batch):
+                yield pa.record_batch({"set": pa.array(np.repeat(batch.column("set").to_numpy(), BANDS)), "key": pa.array(np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64))})
+
+    return reps.select("set", "bands").mapInArrow(spread, "set long, key long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
+
+def groups(reps: DataFrame) -> DataFrame:
+    """pivot, set: the sets that share a bucket with the pivot as its pivot, the pivot among them. reps: set, bands."""
+    members = keyed(reps)
+    size = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(members.join(size, "key"))
+    central = members.groupBy("set").agg(F.sum("size").alias("central"))
+    ranked = members.select("key", "set").join(central, "set")
+    pivots = ranked.groupBy("key").agg(F.max_by("set", F.struct("central", "set")).alias("pivot"))
+    found = cut(members.select("key", "set").join(pivots, "key").select("pivot", "set").distinct())
+    drop(members)
+    return found
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int, most: int = 2_000_000) -> DataFrame:
-    """set, shingles (binary) of the sets wanted: wanted (set, id, digest). Up to `most` are broadcast; more are joined by a shuffle."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, most: int = 200_000) -> DataFrame:
+    """pivot, blocks, set, signature (binary: the lowest byte of each minimum), shingles (binary) of sets in the groups that they are wanted in.
+
+    wanted: id, set, digest, at (array of pivot and blocks). Up to `most` are broadcast (some hundred bytes each); more are joined by a shuffle.
+    """
 
     def make(batches):
+        schema = pa.schema([("pivot", pa.int64()), ("blocks", pa.int32()), ("set", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
         for t in chunks(batches):
             sets, digests = shingle_sets(t, width), t.rows.column("digest").to_pylist()
             # an id may stand for several rows: the set wanted is the one with this digest
-            keep = [i for i, s in enumerate(sets) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digests[i]]
-            yield pa.RecordBatch.from_arrays([t.rows.column("set").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["set", "shingles"])
+            keep = [i for i, s in enumerate(sets) if digest_of(s) == digests[i]]
+            if not keep:
+                continue
+            low = minima([sets[i] for i in keep], BANDS * ROWS).astype(np.uint8)
+            at, names = t.rows.column("at").to_pylist(), t.rows.column("set").to_pylist()
+            for k, i in enumerate(keep):
+                m, body = len(at[i]), sets[i].tobytes()
+                for a in range(0, m, 8):  # few copies of a set at a time
+                    part = at[i][a : a + 8]
+                    yield pa.RecordBatch.from_arrays([pa.array([x["pivot"] for x in part], pa.int64()), pa.array([x["blocks"] for x in part], pa.int32()), pa.array([names[i]] * len(part), pa.int64()), pa.array([low[k].tobytes()] * len(part), pa.binary()), pa.array([body] * len(part), pa.binary())], schema=schema)
 
     small = wanted.limit(most + 1).count() <= most
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if small else wanted, "id").select("set", "text", "digest")
-    return rows.mapInArrow(make, "set long, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if small else wanted, "id").select("set", "text", "digest", "at")
+    return rows.mapInArrow(make, "pivot long, blocks int, set long, signature binary, shingles binary")
+
+
+def in_common(left: list[np.ndarray], right: list[np.ndarray]):
+    """A function of places in `left` that gives how many elements each of these sets has in common with each of `right` (sorted distinct numbers).
+
+    Elements of a quarter of `right` or more are counted by a matrix product, rarer ones one by one.
+    """
+    m = len(right)
+    known, place, often = np.unique(np.concatenate(right), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), [len(x) for x in right])
+    dense = np.flatnonzero(often * 4 >= m)
+    column = np.full(len(known), -1)
+    column[dense] = np.arange(len(dense))
+    matrix = np.zeros((m, len(dense)), np.float32)
+    common = column[place] >= 0
+    matrix[owner[common], column[place[common]]] = 1
+    order = np.argsort(place, kind="stable")
+    owner = owner[order]  # of the elements in order; those of one element stand together
+    begin = np.cumsum(often) - often
+
+    def counts(part: np.ndarray) -> np.ndarray:
+        sets = [left[i] for i in part]
+        row, x = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        ok = known[at] == x
+        row, at = row[ok], at[ok]
+        c = column[at]
+        own = np.zeros((len(sets), len(dense)), np.float32)
+        own[row[c >= 0], c[c >= 0]] = 1
+        out = np.rint(own @ matrix.T).astype(np.int64)
+        row, at = row[c < 0], at[c < 0]
+        n = often[at]
+        upto = np.cumsum(n)
+        a = 0
+        while a < len(n):  # so many at a time that no more than STEP meet
+            done = upto[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(upto, done + STEP, "right")))
+            k = n[a:b]
+            other = owner[np.arange(int(k.sum())) + np.repeat(begin[at[a:b]] - (np.cumsum(k) - k), k)]
+            out += np.bincount(np.repeat(row[a:b], k) * m + other, minlength=out.size).reshape(out.shape)
+            a = b
+        return out
+
+    return counts
+
+
+def linked(sets: list[np.ndarray], low: np.ndarray, queries: np.ndarray, others: np.ndarray, percent: int):
+    """(query, others that it is linked to), as places in sets, of those that are linked to any. low: their signatures."""
+    n = np.array([len(x) for x in sets])
+    least = low.shape[1] * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / low.shape[1]) ** 0.5)
+    step = max(1, STEP // max(1, len(others)))
+    counts = in_common([sets[i] for i in queries], [sets[i] for i in others])
+    columns = [np.ascontiguousarray(low[others, k]) for k in range(low.shape[1])]
+    for a in range(0, len(queries), step):
+        q = queries[a : a + step]
+        equal = np.zeros((len(q), len(others)), np.uint8)
+        for k, column in enumerate(columns):
+            equal += low[q, k][:, None] == column
+        small, large = np.minimum(n[q][:, None], n[others]), np.maximum(n[q][:, None], n[others])
+        likely = (equal >= least) & (100 * small >= percent * large) & (q[:, None] != others)
+        some = np.flatnonzero(likely.any(1))
+        if len(some):
+            both = counts(a + some)
+            ok = likely[some] & (100 * both >= percent * (small[some] + large[some] - both))
+            for i in np.flatnonzero(ok.any(1)):
+                yield int(q[some[i]]), others[ok[i]]
+
+
+def forest(pivot: int, i: int, j: int, names: np.ndarray, block: np.ndarray, low: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (names of two sets) that join what is linked between blocks i and j of a group, and no more of them than join it. The pivot is in every block."""
+    centre = np.flatnonzero(names == pivot)
+    label = np.arange(len(names))  # equal in what is known to be of one class
+    out = []
+    if len(centre):
+        for _, others in linked(sets, low, centre, np.arange(len(names)), percent):
+            label[others] = centre[0]
+            if i == j:
+                out += [(int(names[x]), pivot) for x in others]
+    rest = np.flatnonzero((label != (centre[0] if len(centre) else -1)) & (names != pivot))
+    first, second = rest[block[rest] == i], rest[block[rest] == j] if i != j else rest[:0]
+    # those apart from the pivot meet all of the other block; of the other block's, what they haven't met
+    sides = [(first, np.flatnonzero((block == j) & (names != pivot))), (second, np.setdiff1d(np.flatnonzero((block == i) & (names != pivot)), first))]
+    for queries, others in sides:
+        if len(queries) and len(others):
+            for q, found in linked(sets, low, queries, others, percent):
+                for x in np.unique(label[found]):
+                    if x != label[q]:
+                        other = found[label[found] == x][0]
+                        out.append((int(names[q]), int(names[other])))
+                        label[label == x] = label[q]
+    return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of every id in edges (a, b), by alternating large-star and small-star until nothing changes.
+def links(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between sets, as many as join all that are linked. rows: those of full_sets().
 
-    Null ends and loops are dropped. Minima are summed up before they are joined, so that a hub's links needn't meet in one task.
+    A group's sets are dealt into its blocks by hash; each pair of blocks is a task's piece of work, with the pivot.
     """
-    edges = stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    out = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return out.unionByName(out.select(F.col("component").alias("id"), "component").distinct())
+    dealt = rows.withColumn("own", F.when(F.col("set") == F.col("pivot"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("set", F.lit(5)), F.col("blocks")).cast("int")))
+    numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
+    with_each = F.transform(numbers, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    every = F.flatten(F.transform(numbers, lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("own") < 0, every).otherwise(with_each))).select("pivot", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "set", "signature", "shingles")
+
+    def run(key, table):
+        pivot, i, j = (x.as_py() for x in key)
+        names, first = np.unique(table.column("set").to_numpy(), return_index=True)  # an id that stands for equal rows brings a set twice
+        table = table.take(pa.array(first))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        low = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(sets), -1)
+        found = forest(pivot, i, j, names, table.column("own").to_numpy(), low, sets, percent) if len(sets) > 1 else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return dealt.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -131,119 +263,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are runs of other characters than ASCII white space, A-Z lowered. Two documents are linked if 100 * |both| >= percent * |either| over their
     sets of `width`-word shingles; component_id is the smallest doc_id that links reach, and kept says that it is the document's own. Documents without
     shingles (null or empty texts) and rows without an id are linked with nothing; the latter are kept, with a null component. Rows with one id are one
-    document in links, and each has its own row.
+    document in links, and each has its own row. An empty table gives no rows.
     """
-    signed = stored(signatures(docs, width))
+    signed = cut(banded(docs, width))
     known = signed.where("digest is not null and doc_id is not null")
-    reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature"), F.min("bands").alias("bands")).withColumn("set", F.xxhash64("digest")))
-    members = reps.select("set", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(shared, "key"))
-    central = members.groupBy("set").agg(F.sum("size").alias("central"))
-    members = stored(members.drop("size").join(central, "set"))
-    wanted = stored(members.select("set").distinct().join(reps.select("set", "id", "digest", "signature"), "set"))
-    sets = stored(sets_of(docs, wanted.select("set", "id", "digest"), width).dropDuplicates(["set"]))
-    label = links = left = None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        classed = members if label is None else members.join(label, F.col("set") == F.col("id"), "left")
-        classed = classed.withColumn("class", F.col("set") if label is None else F.coalesce("component", "set")).select("key", "set", "n", "central", "class")
-        if turn:
-            mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-            classed = stored(classed.join(mixed, "key"))
-            if classed.isEmpty():
-                break
-            members = linkable(classed, sets, percent)
-            classed, before, left = members, left, members.count()
-            last = last or before is not None and 5 * left > 4 * before
-        if not last:
-            # the most central member of each of some random parts of the bucket; of the whole bucket in the first round
-            values = F.struct("set", "n", "class", *(["common"] if turn else []))
-            part = F.pmod(F.xxhash64("set", F.lit(turn)), F.lit(PIVOTS)) if turn else F.lit(0)
-            at = [F.max_by(F.when(part == k, values), F.when(part == k, F.struct("central", "set"))) for k in range(PIVOTS if turn else 1)]
-            pivots = classed.groupBy("key").agg(F.array_compact(F.array(*at)).alias("p")).select("key", F.explode("p").alias("p")).select("key", F.col("p.set").alias("set2"), F.col("p.n").alias("n2"), F.col("p.class").alias("class2"), *([F.col("p.common").alias("common2")] if turn else []))
-            apart = F.col("class") != F.col("class2")
-        else:
-            classed = classed.join(classed.select("set").distinct().join(reps.select("set", "bands"), "set"), "set")
-            pivots = classed.select("key", *[F.col(c).alias(f"{c}2") for c in ("set", "n", "class", "common", "bands")])
-            apart = F.col("class") < F.col("class2")
-        if turn:  # what both have in common is at most what either shares with any
-            both = F.least("common", "common2")
-            apart = apart & (100 * both >= percent * (F.col("n") + F.col("n2") - both))
-        alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & apart
-        if last:
-            alike = alike & F.expr("key = get(filter(zip_with(bands, bands2, (x, y) -> if(x = y, x, null)), x -> x is not null), 0)")
-        pairs = classed.join(pivots, "key").where(alike).select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
-        new = confirmed(pairs, wanted.select("set", "signature"), sets, percent)
-        links = stored(new if links is None else links.unionByName(new))
-        label = components(links)
-        if last:
-            break
+    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")).withColumn("set", F.xxhash64("digest")))
+    near = groups(reps)
+    size = near.join(reps.select("set", "n"), "set").groupBy("pivot").agg(F.count("*").alias("sets"), F.sum(8 * F.col("n")).alias("bytes"))
+    size = size.select("pivot", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # a set has one pivot for each band at most
+    at = near.join(size, "pivot").groupBy("set").agg(F.collect_list(F.struct("pivot", "blocks")).alias("at"))
+    wanted = cut(at.join(reps.select("set", "id", "digest"), "set"))
+    found = cut(links(full_sets(docs, wanted, width), percent))
+    drop(near, wanted)
+    label = components(found)
+    drop(found)
     # classes of sets become classes of documents
-    id_of = reps.select("digest", "set", F.col("id").alias("first"))
-    named = id_of.join(label, F.col("set") == F.col("id"), "left").select("digest", "first", F.coalesce("component", "set").alias("class"))
+    named = reps.select("digest", "set", F.col("id").alias("first")).join(label, F.col("set") == F.col("id"), "left").select("digest", "first", F.coalesce("component", "set").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "class").select("digest", "component_id")
-    merged = same_ids(known, classes)
-    out = signed.select("doc_id", "n_shingles", "digest").join(merged, "digest", "left")
+    classes = same_ids(known, named.join(smallest, "class").select("digest", "component_id"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
-def linkable(classed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The members (key, set, n, central, class) that may still have a link, with common: how many of a set's shingles occur in another set of these.
-
-    A link needs percent of the union in common, so at least percent of the set itself.
-    """
-
-    def spread(batches):
-        for batch in batches:
-            raw = batch.column("shingles").to_pylist()
-            n = np.array([len(x) // 8 for x in raw])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("set").to_numpy(), n)), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["set", "x"])
-
-    each = sets.join(classed.select("set").distinct(), "set").select("set", "shingles").mapInArrow(spread, "set long, x long")
-    often = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
-    common = each.join(often, "x").groupBy("set").agg(F.count("*").alias("common"))
-    return stored(classed.join(common, "set").where(100 * F.col("common") >= percent * F.col("n")).select("key", "set", "n", "central", "class", "common"))
-
-
 def same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows with one id and different texts join their classes; where ids are unique (the usual case) nothing is done."""
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
-    twice = stored(twice)
+    twice = cut(twice)
     if twice.isEmpty():
+        drop(twice)
         return classes
     edges = known.join(twice, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     label = components(edges)
     return classes.join(label, F.col("component_id") == F.col("id"), "left").select("digest", F.coalesce("component", "component_id").alias("component_id"))
-
-
-def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that their signatures let pass and that the sets in full confirm."""
-    n = BANDS * ROWS
-    share = percent / 100
-    least = n * (share - 5 * (share * (1 - share) / n) ** 0.5)
-
-    def estimate(batches):
-        for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in ("sa", "sb"))
-                ok = pa.array((x == y).sum(1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
-
-    def exact(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def with_both(rows: DataFrame, side: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
-        for end, name in zip("ba", names, strict=True):
-            rows = rows.join(side.select(F.col("set").alias(end), F.col(value).alias(name)), end)
-        return rows
-
-    likely = stored(with_both(pairs, signatures, "signature", ("sb", "sa")).select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long"))
-    return with_both(likely, sets, "shingles", ("xb", "xa")).select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long")

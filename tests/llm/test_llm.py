@@ -320,10 +320,11 @@ def test_near_duplicates(docs, none, rows, width):
     assert minhash.near_duplicates(none, width).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [1, minhash.ROUNDS])
-def test_near_duplicate_rest(spark, monkeypatch, rounds):
-    """Pairs far from the centre of their group are left to the exhaustive comparison, which finds their links."""
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+@pytest.mark.parametrize("blocks", [7, 10_000])
+def test_near_duplicate_rest(spark, monkeypatch, blocks):
+    """Pairs far from the centre of their group are compared too, in one block or in many."""
+    monkeypatch.setattr(minhash, "BLOCK_SETS", blocks)
+    monkeypatch.setattr(minhash, "STEP", 50 * blocks)
     rng = np.random.default_rng(7)
     text, made = [f"w{i}" for i in range(100)], []
     for i in range(0, 120, 3):
@@ -340,6 +341,13 @@ def test_near_duplicate_rest(spark, monkeypatch, rounds):
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == want
 
 
+def test_in_common():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate((np.arange(20), rng.integers(20, 200, rng.integers(1, 80))))).astype(np.uint64) for _ in range(60)]
+    counts = minhash.in_common(sets[:25], sets[25:])
+    assert counts(np.arange(3, 20)).tolist() == [[len(np.intersect1d(x, y)) for y in sets[25:]] for x in sets[3:20]]
+
+
 def test_near_duplicate_chain(spark):
     """A hot group of near copies, of which many are linked through others only."""
     rng = np.random.default_rng(5)
