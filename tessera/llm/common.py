@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from ..operators.store import cut as stored
 from ..operators.store import drop, shared_dir
@@ -36,8 +40,35 @@ def numbered(df: DataFrame, keys: list[str], salt: Column, order: list[Column],
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table. Texts may be long, so batches for Python hold at most 2,000 rows from now on, unless the session has chosen."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: from now on batches for Python hold at most 2,000 rows in this session, unless it has chosen another number than the default."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, "2000")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def bounded(query: Callable) -> Callable:
+    """A query (its first argument is the session) that runs with small_batches()."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        small_batches(spark)
+        return query(spark, *args)
+
+    return run
+
+
+def held_out(n: int) -> Column:
+    """Whether crc32 of doc_id as text is 0 modulo n; a row without an id is held out."""
+    return F.coalesce(bucket_of(F.col("doc_id"), n) == 0, F.lit(True))
+
+
+def kept_fields(docs: DataFrame, keep: tuple[str, ...], made: tuple[str, ...]) -> list[StructField]:
+    """The fields of the columns to keep. One with the name of a column that the operator makes is an error, as the result would have two."""
+    twice = sorted(set(keep) & set(made))
+    if twice:
+        raise ValueError(f"columns to keep have names of result columns: {', '.join(twice)}")
+    return [f for f in docs.schema.fields if f.name in keep]

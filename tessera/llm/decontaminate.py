@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import stored
-from .flat import ALNUM, LOWER, Texts, chunks, mix, words
+from .common import kept_fields, stored
+from .flat import ALNUM, LOWER, Texts, chunks, process_cache, release, words
 
 
 class Automaton:
@@ -113,47 +114,62 @@ def hashed(texts: list[str | None]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def parts(benchmark: DataFrame, max_words: int) -> list[list[tuple[str, np.ndarray]]]:
-    """Items (id as text, word hashes) in parts of at most max_words words (a longer item is a part of its own). Items without words or id are left out."""
-    out, held = [[]], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator()
-    for name, text in ((r[0], r[1]) for r in rows):
-        h = hashed([text])[0]
-        if not len(h):
-            continue
-        if out[-1] and held + len(h) > max_words:
-            out.append([])
-            held = 0
-        out[-1].append((name, h))
-        held += len(h)
-    return out
+def parts(benchmark: DataFrame, max_words: int) -> tuple[DataFrame, int]:
+    """name (item_id as text), words (their hashes, binary), part of each item with words and an id; and how many parts, dealt by a hash, of about max_words words each."""
+
+    def split(batches):
+        for batch in batches:
+            found = hashed(batch.column("text").to_pylist())
+            ok = [i for i, h in enumerate(found) if len(h)]
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(ok, pa.int64())), pa.array([found[i].tobytes() for i in ok], pa.binary())], names=["name", "words"])
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), "text")
+    items = stored(rows.mapInArrow(split, "name string, words binary"))
+    total = items.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    n = max(1, -(-int(total) // max_words))
+    return items.withColumn("part", F.pmod(F.xxhash64("name", "words"), F.lit(n))), n
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *keep: str, window: int = 10, max_words: int = 200_000) -> DataFrame:
     """The columns `keep` (and text, if among them), n_words, spans (array of word ranges [begin, end) in order, disjoint) and items (sorted ids) of each document.
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lowered. A window is `window` words in a row of an item, or a whole
-    shorter item. A null text has no words. An automaton holds max_words words at most; a larger benchmark takes several passes, whose spans are merged.
+    shorter item. A null text has no words. A larger benchmark than about max_words words takes several passes, each with the automaton of a part of the
+    items; their spans are merged. A column to keep that is named like a result is an error.
     """
+    kept_fields(docs, keep, ("n_words", "spans", "items"))
     rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
-    found = parts(benchmark, max_words)
-    for k, part in enumerate(found):
-        rows = rows.mapInArrow(_pass(part, window), rows.schema)
-        if k + 1 < len(found):
+    items, n = parts(benchmark, max_words)
+    for k in range(n):
+        found = [(r["name"], np.frombuffer(r["words"], np.uint64)) for r in items.where(F.col("part") == k).select("name", "words").collect()]  # one part
+        rows = rows.mapInArrow(_pass(sorted(found, key=lambda x: (x[0], x[1].tobytes())), window), rows.schema)
+        if k + 1 < n:
             rows = stored(rows)
     return rows if "text" in keep else rows.drop("text")
 
 
+def _tables(part: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray, Automaton, int, np.ndarray]:
+    """Known words, the automaton over their numbers, the fewest words of a window, and the pairs of neighbours (first number times the known words, and the second)."""
+    vocabulary = np.unique(np.concatenate([h for _, h in part])) if part else np.zeros(0, np.uint64)
+    auto = Automaton([(name, np.searchsorted(vocabulary, h).tolist()) for name, h in part], window)
+    n = np.uint64(max(1, len(vocabulary)))
+    ids = [np.searchsorted(vocabulary, h).astype(np.uint64) for _, h in part]
+    pairs = np.unique(np.concatenate([x[:-1] * n + x[1:] for x in ids])) if part else vocabulary
+    return vocabulary, auto, min([window, *(len(h) for _, h in part)]), pairs
+
+
 def _pass(part: list[tuple[str, np.ndarray]], window: int):
+    name = hashlib.blake2b(b"".join([window.to_bytes(8, "little"), *[x.encode() + b"\0" + h.tobytes() for x, h in part]])).hexdigest()
+
     def run(batches):
-        vocabulary = np.unique(np.concatenate([h for _, h in part])) if part else np.zeros(0, np.uint64)
-        auto = Automaton([(name, np.searchsorted(vocabulary, h).tolist()) for name, h in part], window)
-        shortest = min([window, *(len(h) for _, h in part)])
+        kept = process_cache()
+        if name not in kept:  # a process builds it once, not for each task
+            release()
+            kept[name] = _tables(part, window)
+        vocabulary, auto, shortest, pairs = kept[name]
         n = np.uint64(max(1, len(vocabulary)))
-        ids = [np.searchsorted(vocabulary, h).astype(np.uint64) for _, h in part]
-        pairs = np.unique(np.concatenate([x[:-1] * n + x[1:] for x in ids])) if part else vocabulary
         for batch in batches:
-            for t in chunks([batch]):
+            for t in chunks([batch], forget=False):
                 begin, _, h = words(t, ALNUM, LOWER)
                 at = np.searchsorted(begin, np.append(t.starts, t.size))
                 spans = [list(zip(s[0::2], s[1::2], strict=True)) if s else [] for s in t.rows.column("spans").to_pylist()]
@@ -193,21 +209,19 @@ def merged(spans: list) -> list:
     return out
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_percent: int = 50) -> DataFrame:
     """The documents without their hit words: the text from the first to the last byte of each stretch of hit words is cut out, with one space left.
 
-    A document of whose words over max_percent percent are hit is dropped whole. All columns of docs stay; others keep their text (null too) as it is.
+    A document of whose words over max_percent percent are hit is dropped whole. All columns of docs stay, whatever their names; other documents keep
+    their text (null too) as it is.
     """
-    names = docs.columns
-    rows = scan(docs, benchmark, *names, "text", window=window)
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = scan(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), benchmark, *names, window=window)
+    schema = StructType([StructField(n, f.dataType) for f, n in zip(docs.schema.fields, names, strict=True)])
 
     def cut(batches):
         for batch in batches:
-            for t in chunks([batch]):
+            for t in chunks([batch], forget=False):
                 begin, end, _ = words(t, ALNUM, LOWER)
                 at = np.searchsorted(begin, t.starts)
                 texts, keep = t.rows.column("text").to_pylist(), []
@@ -224,4 +238,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_percent:
                 batch_out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else t.rows.column(c) for c in names], names=names)
                 yield batch_out.take(pa.array(keep, pa.int64()))
 
-    return rows.select(*names, "n_words", "spans").mapInArrow(cut, docs.schema)
+    return rows.select(*names, "n_words", "spans").mapInArrow(cut, schema).toDF(*docs.columns)

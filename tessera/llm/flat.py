@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,67 @@ class Texts:
         return np.cumsum(marks[:-1]).astype(bool)
 
 
+class Characters(Texts):
+    """Some texts as numbers of their characters (the bytes of UTF-8, the first one lowest), in which a line feed follows each text; three zeros stand at the end.
+
+    lower: a table for bytes, to be applied first.
+    """
+
+    def __init__(self, t: Texts, lower: np.ndarray | None = None):
+        self.rows, self.raw = t.rows, t.raw
+        b = t.buf if lower is None else lower[t.buf]
+        if t.size and int(b.max()) < 128:
+            self.starts, self.lens, self.buf, self.size = t.starts, t.lens, b, t.size
+            return
+        at = np.flatnonzero((b[: t.size] & 0xC0) != 0x80)
+        c = np.append(b[at].astype(np.uint32), np.zeros(3, np.uint32))
+        for k, first in enumerate((0xC0, 0xE0, 0xF0), 1):
+            more = np.flatnonzero((c[: len(at)] & 0xFF) >= first)
+            c[more] |= b[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        ends = np.searchsorted(at, t.starts + t.lens)
+        self.starts = np.searchsorted(at, t.starts)
+        self.lens, self.buf, self.size = ends - self.starts, c, len(at)
+
+
+def slices(t: Texts, sizes: tuple[int, ...], bits: int, most: int = 1 << 17, texts: int = 16) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first text, how many, keys for each size): n-grams, a slice of a few texts at a time; a key is the text's place among them times 2**bits, and the bucket.
+
+    A long text takes several slices, so that memory doesn't follow it.
+    """
+    doc, a = 0, 0
+    widest = max(sizes)
+    while doc < len(t.raw):
+        last = min(doc + texts, len(t.raw))
+        b = min(t.size, a + most, int(t.starts[last - 1] + t.lens[last - 1]) + 1)
+        last = int(np.searchsorted(t.starts, b, "left"))  # texts that begin before b
+        c = t.buf[a : b + widest - 1].astype(np.uint32)
+        own = np.repeat(np.arange(last - doc), np.diff(np.append(np.maximum(t.starts[doc:last], a), b)))
+        ends = np.repeat((t.starts + t.lens)[doc:last], np.diff(np.append(np.maximum(t.starts[doc:last], a), b))) - np.arange(a, b)
+        keys, g = [], None
+        for n in range(1, widest + 1):
+            g = c[: b - a].copy() if g is None else g * np.uint32(0x01000193) + c[n - 1 : b - a + n - 1]
+            if n in sizes:
+                h = (g + np.uint32(0x9E3779B9 * n & 0xFFFFFFFF)) * np.uint32(2654435761)
+                h ^= h >> np.uint32(15)
+                h *= np.uint32(2246822519)
+                ok = ends >= n
+                keys.append((own[ok] << bits) + (h[ok] >> np.uint32(32 - bits)))
+        yield doc, last - doc, keys
+        a = b
+        doc = last if b > t.starts[last - 1] + t.lens[last - 1] else last - 1
+
+
+def process_cache() -> dict:
+    """What this process keeps from task to task, until release().
+
+    Code reaches executors pickled by value, so that each task has globals of its own; a module of this name is the process's.
+    """
+    return vars(sys.modules.setdefault("_tessera_process", ModuleType("_tessera_process"))).setdefault("kept", {})
+
+
 def release() -> None:
-    """Gives memory that earlier tasks of this process have freed back to the system."""
+    """Empties the process's cache and gives memory that earlier tasks have freed back to the system."""
+    process_cache().clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
@@ -56,10 +116,11 @@ def release() -> None:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21, forget: bool = True) -> Iterator[Texts]:
-    """A Python worker may serve one operator after another; with `forget` it lets go of the words that tokens.words() kept. The batches' rows with a `text` column in chunks of about `limit` bytes, so that memory doesn't follow the batch; a longer text is a chunk of its own."""
+    """The batches' rows with a `text` column in chunks of about `limit` bytes, so that memory doesn't follow the batch; a longer text is a chunk of its own.
+
+    A Python worker may serve one operator after another: with `forget` it calls release() first.
+    """
     if forget:
-        if "tokenizers" in sys.modules:
-            vars(sys.modules["tokenizers"]).pop("_words_kept", None)
         release()
     for batch in batches:
         column = batch.column("text")

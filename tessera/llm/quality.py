@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of hashed byte, shape and word n-grams (a mean for each family of n-grams, then their sum); a softmax
+A document is the average of learned vectors of hashed character and word n-grams (a mean for each family of n-grams, then their sum); a softmax
 layer stands on it. Training is numpy stochastic gradient descent on a bounded sample of labelled rows. As the model is linear after the embedding,
 the executors only get each bucket's contribution to the logit (families x 2**bits floats).
 """
@@ -16,36 +16,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .flat import NOT_SPACE, Texts, chunks, grams, mix, words
+from .common import kept_fields
+from .flat import NOT_SPACE, Characters, Texts, chunks, mix, slices, words
 
-FAMILIES = 6
-
-
-def shapes() -> np.ndarray:
-    """Bytes as classes: capitals, letters (bytes of other scripts too), digits; the rest stay."""
-    out = np.arange(256, dtype=np.uint8)
-    out[65:91], out[97:123], out[128:], out[48:58] = 65, 97, 97, 48
-    return out
+#: Sizes of character n-grams, and of word n-grams: a family each. A word n-gram that ends with a word that it holds already is one of a few grams, whatever the words.
+CHARACTERS, WORDS = (3, 4), (1, 2, 3)
+FAMILIES = len(CHARACTERS) + len(WORDS)
 
 
 def features(t: Texts, bits: int):
-    """(family, place-wise buckets, text of each place, mean denominators): the n-grams of each family.
-
-    Bytes: 3- and 4-grams. Shapes: 4-grams. Words: 1- and 2-grams, and marks of words equal to the one before or the one before that.
-    """
+    """(family, place-wise buckets, text of each place): the n-grams of each family."""
+    c = Characters(t)
+    found = [(first, keys) for first, _, keys in slices(c, CHARACTERS, bits)]
+    for family in range(len(CHARACTERS)):
+        keys = [k[family] for _, k in found]
+        own = [(k >> bits) + first for (first, _), k in zip(found, keys, strict=True)]
+        yield family, (np.concatenate(keys) & ((1 << bits) - 1)).astype(np.uint32), np.concatenate(own)
     doc = t.doc_of()
-    for family, (n, buf) in enumerate(((3, t.buf), (4, t.buf), (4, shapes()[t.buf]))):
-        ok = t.inside(n)
-        yield family, grams(buf, t.size, n, bits)[ok], doc[ok]
     begin, _, h = words(t, NOT_SPACE)
     own, shift = doc[begin], np.uint64(64 - bits)
-    yield 3, (h >> shift).astype(np.uint32), own
-    pair = own[1:] == own[:-1]
-    yield 4, (mix(h[1:] + h[:-1] * np.uint64(3)) >> shift).astype(np.uint32)[pair], own[1:][pair]
-    same = np.zeros(len(h), np.uint32)
-    same[1:] |= ((h[1:] == h[:-1]) & pair).astype(np.uint32)
-    same[2:] |= ((h[2:] == h[:-2]) & (own[2:] == own[:-2])).astype(np.uint32) * np.uint32(2)
-    yield 5, same, own
+    for family, n in enumerate(WORDS, len(CHARACTERS)):
+        g = h[: max(0, len(h) - n + 1)].copy()
+        for k in range(1, n):
+            g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(g)]
+        for k in range(n - 1):
+            g[h[k : k + len(g)] == h[n - 1 : n - 1 + len(g)]] = n - 1 - k
+        inside = own[: len(g)] == own[n - 1 :] if len(g) else own[:0].astype(bool)
+        yield family, (mix(g[inside]) >> shift).astype(np.uint32), own[: len(g)][inside]
 
 
 @dataclass
@@ -95,7 +92,7 @@ def hash_id(x) -> int:
     return zlib.crc32(str(x).encode())
 
 
-def fit(rows: list[tuple[str, int]], counts: tuple[int, int], bits: int = 16, dim: int = 16, epochs: int = 4, rate: float = 0.3, seed: int = 1) -> Model:
+def fit(rows: list[tuple[str, int]], counts: tuple[int, int], bits: int = 16, dim: int = 16, epochs: int = 4, rate: float = 0.6, seed: int = 1) -> Model:
     """rows: texts and labels; counts: labelled rows of each label. The two labels weigh alike. With one label only, the model gives the prior of `counts`."""
     rng = np.random.default_rng(seed)
     prior = float(np.log((counts[1] + 1) / (counts[0] + 1)))
@@ -142,9 +139,12 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int], bits: int = 16, di
 
 
 def score(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3) -> DataFrame:
-    """The columns `keep`, score (the probability of label 1, were both equally common) and predicted (score >= threshold). A null text is scored as an empty one: by the bias alone."""
+    """The columns `keep`, score (the probability of label 1, were both equally common) and predicted (score >= threshold).
+
+    A null text is scored as an empty one: by the bias alone. A column to keep that is named like a result is an error.
+    """
+    fields = kept_fields(docs, keep, ("score", "predicted"))
     docs = docs.select(*dict.fromkeys((*keep, "text")))
-    fields = [f for f in docs.schema.fields if f.name in keep]
 
     def apply(batches):
         for t in chunks(batches):

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, licenses, lm, minhash, packing, quality, rules, sharding, wavelet
-from .common import bucket_of, read
+from . import pipeline as stages
+from .common import bounded, held_out, read
+from .pipeline import language_model, quality_model
 from .tokens import vocabulary
 
 
-def held_out(n: int) -> Column:
-    """Whether crc32 of doc_id as text is 0 modulo n; a row without an id is held out."""
-    return F.coalesce(bucket_of(F.col("doc_id"), n) == 0, F.lit(True))
-
-
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -24,11 +21,6 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
-    labels = read(spark, sf_dir, "labels").where(~held_out(5))
-    return quality.fit(*quality.sample(read(spark, sf_dir, "documents"), labels))
-
-
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(read(spark, sf_dir, "documents"), quality_model(spark, sf_dir), "doc_id")
     return out.select("doc_id", held_out(5).alias("held_out"), "score", "predicted")
@@ -52,10 +44,6 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(wavelet.manifest(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
-    return langid.fit(read(spark, sf_dir, "documents").where(~held_out(5)))
-
-
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.predict(read(spark, sf_dir, "documents"), language_model(spark, sf_dir), "doc_id")
     return out.select("doc_id", held_out(5).alias("held_out"), "lang_pred", "score")
@@ -73,12 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_sharding, op2_best_fit_packing, op3_quality_classifier, op4_quality_rules, op5_lm_scoring, op6_minhash_dedup, op7_wavelet_tokens, op8_language_id, op9_license_scan, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: bounded(f) for f in (op1_kd_sharding, op2_best_fit_packing, op3_quality_classifier, op4_quality_rules, op5_lm_scoring, op6_minhash_dedup, op7_wavelet_tokens, op8_language_id, op9_license_scan, op10_decontamination, pipeline)}
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

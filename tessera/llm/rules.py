@@ -1,7 +1,8 @@
 """Quality rules: counts of a text's words, symbols and repeats, and the log-likelihood ratio of its hashed n-grams.
 
 The ratio compares two multinomials over hashed n-grams, one of trusted texts and one of the whole corpus, both counted over all rows. It is
-divided by the number of n-grams, and a fixed threshold decides on every document.
+divided by the number of n-grams. One threshold decides on every document; it comes from the trusted texts' own ratios, so that what is merely rarer among
+them than in the corpus, such as a language, is not rejected.
 """
 
 from __future__ import annotations
@@ -13,13 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_fields
 from .flat import NOT_SPACE, Texts, chunks, grams, mix, words
-from .quality import shapes
 
 BITS = 16
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
+def shapes() -> np.ndarray:
+    """Bytes as classes: capitals, letters (bytes of other scripts too), digits; the rest stay."""
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91], out[97:123], out[128:], out[48:58] = 65, 97, 97, 48
+    return out
+
+
 def _grams(t: Texts):
     """Families of n-grams: bytes of 3 and 4, and shapes of 4; a bucket range for each."""
     for k, (n, buf) in enumerate(((3, t.buf), (4, t.buf), (4, shapes()[t.buf]))):
@@ -29,12 +37,22 @@ def _grams(t: Texts):
 @dataclass
 class Ratio:
     tables: np.ndarray  # families x 2**BITS, log of the ratio
+    threshold: float = 0.0
+
+    def of(self, t: Texts) -> np.ndarray:
+        """The mean log ratio of each text's n-grams; 0 without one."""
+        total, n = np.zeros(len(t.raw)), np.zeros(len(t.raw))
+        for k, size, g in _grams(t):
+            total += t.sums(self.tables[k][g], size)
+            n += np.maximum(t.lens - size + 1, 0)
+        return np.round(total / np.maximum(n, 1), 9)
 
 
 def fit(docs: DataFrame, smoothing: float = 64.0) -> Ratio:
     """docs: text, trusted (boolean; null is false). Null texts have no n-grams. Without trusted rows every ratio is 0.
 
-    The trusted multinomial is smoothed towards the corpus one, so that an n-gram rare in both says little.
+    The trusted multinomial is smoothed towards the corpus one, so that an n-gram rare in both says little. The threshold lies as far below the lowest
+    hundredth of the trusted texts' ratios as their median lies above it.
     """
 
     def count(batches):
@@ -56,7 +74,19 @@ def fit(docs: DataFrame, smoothing: float = 64.0) -> Ratio:
     p = (r + 0.5) / (r + 0.5).sum(1, keepdims=True)
     total = q.sum(1, keepdims=True)
     ratio = np.log((q + smoothing * p * (1 << 8)) / (total + smoothing * (1 << 8)) / p)
-    return Ratio(np.where(total > 0, ratio, 0).astype(np.float32))
+    found = Ratio(np.where(total > 0, ratio, 0).astype(np.float32))
+
+    def measure(batches):
+        for t in chunks(batches):
+            yield pa.record_batch({"x": pa.array(np.round(found.of(t), 3))})
+
+    # rows of equal ratios to three digits: some thousands at most
+    own = sorted(docs.where("trusted").select("text").mapInArrow(measure, "x double").groupBy("x").count().collect())
+    if own:
+        upto = np.cumsum([r[1] for r in own])
+        low, middle = (own[int(np.searchsorted(upto, share * upto[-1]))][0] for share in (0.01, 0.5))
+        found.threshold = round(2 * low - middle, 3)
+    return found
 
 
 def repeats(t: Texts) -> tuple[np.ndarray, ...]:
@@ -100,14 +130,18 @@ def duplicate_lines(text: bytes) -> int:
     return n
 
 
-def apply(docs: DataFrame, ratio: Ratio, *keep: str, threshold: float = 0.0) -> DataFrame:
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
+
+
+def apply(docs: DataFrame, ratio: Ratio, *keep: str, threshold: float | None = None) -> DataFrame:
     """The columns `keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr (per n-gram; 0 without one), base_failed and kept.
 
-    A text is kept if it doesn't fail the base (under 20 words, or over 30 % of its words in repeated windows) and llr >= threshold. A null text
-    has no words and so fails. Equal texts get equal rows.
+    A text is kept if it doesn't fail the base (under 20 words, or over 30 % of its words in repeated windows) and llr >= threshold, by default the
+    ratio's own. A null text has no words and so fails. Equal texts get equal rows. A column to keep that is named like a result is an error.
     """
-    docs = docs.select(*keep, "text")
-    fields = [f for f in docs.schema.fields if f.name != "text"]
+    fields = kept_fields(docs, keep, MADE)
+    docs = docs.select(*dict.fromkeys((*keep, "text")))
+    threshold = ratio.threshold if threshold is None else threshold
 
     def run(batches):
         symbol = np.zeros(256, bool)
@@ -116,11 +150,7 @@ def apply(docs: DataFrame, ratio: Ratio, *keep: str, threshold: float = 0.0) ->
             n_words, points, repeated = repeats(t)
             symbols = t.sums(symbol[t.buf[: t.size]], 1).astype(np.int64)
             lines = np.array([duplicate_lines(x) for x in t.raw], np.int64)
-            total, n = np.zeros(len(t.raw)), np.zeros(len(t.raw))
-            for k, size, g in _grams(t):
-                total += t.sums(ratio.tables[k][g], size)
-                n += np.maximum(t.lens - size + 1, 0)
-            llr = np.round(total / np.maximum(n, 1), 9)
+            llr = ratio.of(t)
             failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
             cols = {"n_words": n_words, "word_chars": points, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated}
             yield pa.RecordBatch.from_arrays([*[t.rows.column(f.name) for f in fields], *[pa.array(v.astype(np.int64)) for v in cols.values()], pa.array(llr), pa.array(failed), pa.array(~failed & (llr >= threshold))], names=[*[f.name for f in fields], *cols, "llr", "base_failed", "kept"])

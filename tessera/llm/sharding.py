@@ -2,7 +2,8 @@
 
 Each row is reduced to a few numbers. Every level finds the cuts of all its nodes at once, by histograms of the key's digits (most significant
 first), which Spark sums; the driver gets one row per node. Only the finest histogram needed is computed: a cut is final once the bin that holds
-it weighs under `tolerance` of a leaf.
+it weighs under `tolerance` of a leaf. Rows can't be cut, so large ones (over HEAVY of a leaf, which bounds their number) leave leaves uneven; some of
+them are moved from full leaves to others at the end.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from .common import numbered, stored
 DIGITS = ((0, 48, 15), (0, 32, 16), (0, 16, 16), (0, 0, 16), (1, 16, 16), (1, 0, 16))
 
 
+#: What makes a row heavy, as a share of a leaf's bytes: there are shards / HEAVY of them at most.
+HEAVY = 0.01
+
+
 def dimensions() -> list[Column]:
     """Metadata as integers of 31 bits: language and source (by hash: equal values lie together) and the size on a log scale. Null is 0."""
     def hashed(c: str) -> Column:
@@ -34,8 +39,9 @@ def size_of(text: Column) -> Column:
 def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.002) -> DataFrame:
     """doc_id, size, text_crc32, shard (0 to shards - 1, near equal bytes) and slot (gapless from 0 in a shard, by hash of the id, then by id).
 
-    docs: doc_id, text, lang, source. Equal metadata is told apart by the text's crc32, so that equal texts tend to lie together, then by a hash
-    of the id, so that a hot text or source splits; only rows equal in all of these can't be parted. An empty table gives no rows.
+    docs: doc_id, text, lang, source. Shards differ by HEAVY of a leaf, or by what the smallest heavy rows allow. Rows with equal metadata are told apart
+    by the text's crc32, so that equal texts of one source and language are neighbours, then by a hash of the id, so that a hot text or source splits; only
+    rows equal in all of these can't be parted. Equal texts of different metadata may lie in any shards. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), "lang", "source")
     dims = dimensions()
@@ -68,10 +74,53 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.002) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "size", "text_crc32")] + [pa.array(node.astype(np.int32))], names=["doc_id", "size", "text_crc32", "shard"])
 
     out = stored(rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, shard int"))
+    moves = _moves(out, shards, leaf)
+    if moves:
+        to = rows.sparkSession.createDataFrame(moves, "_doc long, _size long, _crc long, _from int, _to int")  # as many rows as are heavy at most
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_crc")) & (F.col("shard") == F.col("_from"))
+        out = out.join(F.broadcast(to), same, "left").select("doc_id", "size", "text_crc32", F.coalesce("_to", "shard").alias("shard"))
     largest = out.groupBy("shard").count().agg(F.max("count")).first()[0]
     return numbered(out, ["shard"], F.xxhash64("doc_id", F.lit(3)), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", largest)
 
 
+def _moves(placed: DataFrame, shards: int, leaf: float) -> list[tuple]:
+    """(doc_id, size, text_crc32, shard, new shard) of heavy rows to be moved: again and again, one from among the fullest shards goes to one of the emptiest, or two change places."""
+    total = np.zeros(shards)
+    for shard_, size in placed.groupBy("shard").agg(F.sum("size")).collect():
+        total[shard_] = size
+    heavy = placed.where(F.col("size") > HEAVY * leaf).groupBy("doc_id", "size", "text_crc32", "shard").count().collect()  # shards / HEAVY rows at most
+    at = sorted((r["size"] * r["count"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"], r["shard"]) for r in heavy)
+    weight, where = np.array([x[0] for x in at], float), np.array([x[5] for x in at], int)
+    for _ in range(4 * len(at)):
+        order = np.argsort(total)
+        if total[order[-1]] - total[order[0]] <= HEAVY * leaf or not any(_exchange(total, weight, where, int(full), int(empty)) for full in order[:-6:-1] for empty in order[:5]):
+            break
+    return [(x[2] if x[1] else None, x[4], x[3], x[5], int(to)) for x, to in zip(at, where, strict=True) if to != x[5]]
+
+
+def _exchange(total: np.ndarray, weight: np.ndarray, where: np.ndarray, full: int, empty: int) -> bool:
+    """Moves a row from one shard to another, or swaps two, so that their totals come as near as one row or pair allows; whether that brought them nearer."""
+    gap = total[full] - total[empty]
+    own, other = np.flatnonzero(where == full), np.append(np.flatnonzero(where == empty), -1)
+    back = np.append(weight[other[:-1]], 0)  # the last is no row at all
+    rank = np.argsort(back, kind="stable")
+    best = (gap / 2, -1, -1)
+    for k in own:
+        want = weight[k] - gap / 2
+        i = int(np.searchsorted(back[rank], want))
+        for j in rank[max(0, i - 1) : i + 1]:
+            best = min(best, (abs(want - back[j]), int(k), int(j)))
+    _, k, j = best
+    if k < 0:
+        return False
+    total[full] -= weight[k] - back[j]
+    total[empty] += weight[k] - back[j]
+    where[k] = empty
+    if other[j] >= 0:
+        where[other[j]] = full
+    return True
+
+
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The first words of the keys by each dimension, and the second words."""
     crc = batch.column("text_crc32").to_numpy()

@@ -10,6 +10,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from .flat import process_cache
+
 #: Words that a process keeps at most; beyond it the cache starts anew.
 MOST_WORDS = 450_000
 
@@ -21,15 +23,31 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _load(path: str):
+def _load(path: str, ordinary: bool):
+    """The library's tokenizer; with `ordinary`, the strings of special tokens in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = ordinary
     return t
 
 
+def _with_special(path: str, plain: Callable[[str], bytes]) -> Callable[[str | None], bytes]:
+    """`plain`, but a text that holds a special token's string goes to the library whole, which gives the string the token's id. Null is an empty text."""
+    whole = _load(path, False)
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+
+    def encode(text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(x in text for x in special):
+            return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return plain(text)
+
+    return encode
+
+
 #: ASCII signs other than an apostrophe. Both vocabularies cut a word of Latin letters and such signs between the two, and nowhere else.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The characters that stand for bytes beyond ASCII in byte-level vocabularies: 0x80-0xA0 and 0xAD are moved up, others stand for themselves.
@@ -45,7 +63,7 @@ class Words(dict):
     def __init__(self, path: str, blank: bool, lower: bool, most: int = MOST_WORDS):
         super().__init__()
         self.most = most
-        self.tokenizer, self.blank, self.lower = _load(path), " " if blank else "", lower
+        self.tokenizer, self.blank, self.lower = _load(path, True), " " if blank else "", lower
         self.shown_blank = "\u0120" if blank else ""
         self.model, self.signs = self.tokenizer.model, {}
 
@@ -98,11 +116,8 @@ class Words(dict):
 
 
 def words(path: str, blank: bool, lower: bool, most: int = MOST_WORDS) -> Words:
-    """The process's own Words for these: a Python worker keeps them from task to task."""
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("_words_kept", {})
-    key = path, blank, lower, most
+    """The process's own Words for these: a Python worker keeps them from task to task. Special tokens' strings are ordinary text."""
+    key, kept = (path, blank, lower, most), process_cache()
     if key not in kept:
         kept[key] = Words(*key)
     return kept[key]
@@ -114,7 +129,7 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_bpe(path: str, most: int = MOST_WORDS) -> Callable[[str | None], bytes]:
-    """An encoder for the byte-level vocabulary, to little-endian u32; null is an empty text. A single blank between two other characters always begins a token."""
+    """An encoder for the byte-level vocabulary, to little-endian u32, with the library's ids. A single blank between two other characters always begins a token."""
     spaced, plain = words(path, True, False, most), words(path, False, False, most // 4)
     feed = plain["\n"]
 
@@ -122,25 +137,21 @@ def byte_bpe(path: str, most: int = MOST_WORDS) -> Callable[[str | None], bytes]
         """A line's ids, whose first word has no blank before it."""
         return plain[parts[0]] + b"".join(map(spaced.__getitem__, parts[1:]))
 
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
+    def encode(text: str) -> bytes:
         if _ODD.search(text):
             return ids(_SINGLE.split(text))
         # a single line feed between other characters is a token of its own
         return feed.join([ids(x.split(" ")) for x in text.split("\n")])
 
-    return encode
+    return _with_special(path, encode)
 
 
 def word_bpe(path: str) -> Callable[[str | None], bytes]:
-    """An encoder for the vocabulary with word ends, which drops white space, to little-endian u32; null is an empty text."""
+    """An encoder for the vocabulary with word ends, which drops white space, to little-endian u32, with the library's ids."""
     known, blanks = words(path, False, True), re.compile(r"[^ \n\t\r]+")
 
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
+    def encode(text: str) -> bytes:
         # Python takes four controls for white space that the vocabulary doesn't
         return known.join(blanks.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split())
 
-    return encode
+    return _with_special(path, encode)
