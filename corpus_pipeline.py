@@ -1,71 +1,5 @@
-"""From documents to packed sequences: language, quality, near duplicates, benchmark leaks, packing.
+"""The pipeline's stages and run; they live in tessera.llm.pipeline."""
 
-Each stage takes what the one before it kept. The first four return the columns of documents; the last returns a row per piece of a document. A row
-with a null or empty text fails the first stage, as its language is undetermined. Models are fitted on the tables of sf_dir.
-"""
+from tessera.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.llm import decontaminate, langid, minhash, packing, quality, queries
-from tessera.llm.common import read, stored
-from tessera.llm.tokens import vocabulary
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
-
-
-def _as_documents(kept: DataFrame) -> DataFrame:
-    """A changed text changes n_chars."""
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of undetermined language: a null text, or one without a letter."""
-    model = queries.language_model(spark, sf_dir)
-    return langid.predict(_columns(docs), model, *COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
-
-
-def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier calls bad."""
-    model = queries.quality_model(spark, sf_dir)
-    return quality.score(_columns(docs), model, *COLUMNS).where("predicted = 1").select(*COLUMNS)
-
-
-def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each class of near duplicates (five words, similarity 0.8); rows without an id stay, and of equal ids one row each."""
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = _columns(docs)
-    one = rows.join(keep, "doc_id", "left_semi").select(*COLUMNS)
-    return one.unionByName(rows.where("doc_id is null"))
-
-
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out, and drops documents that mostly consist of them."""
-    return _as_documents(decontaminate.remove(_columns(docs), read(spark, sf_dir, "benchmark")))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens in sequences."""
-    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), most_words=120_000))
-
-
-STAGES = [("language_id", language), ("quality_classifier", good), ("minhash_dedup", distinct), ("decontamination", clean), ("best_fit_packing", packed)]
-
-#: Classifiers, minima and packing are no SQL; tests/llm hold each stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
