@@ -7,17 +7,22 @@ a window lie, so the automaton reads few words and still tracks every match.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import kept_fields, stored
 from .flat import ALNUM, LOWER, Texts, chunks, process_cache, release, words
 
 
+#: Words of an automaton, about.
+MAX_WORDS = 200_000
+
+
 class Automaton:
     """A suffix automaton of several word sequences, none of which runs on into another.
 
@@ -130,7 +135,7 @@ def parts(benchmark: DataFrame, max_words: int) -> tuple[DataFrame, int]:
     return items.withColumn("part", F.pmod(F.xxhash64("name", "words"), F.lit(n))), n
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *keep: str, window: int = 10, max_words: int = 200_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *keep: str, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
     """The columns `keep` (and text, if among them), n_words, spans (array of word ranges [begin, end) in order, disjoint) and items (sorted ids) of each document.
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lowered. A window is `window` words in a row of an item, or a whole
@@ -138,14 +143,42 @@ def scan(docs: DataFrame, benchmark: DataFrame, *keep: str, window: int = 10, ma
     items; their spans are merged. A column to keep that is named like a result is an error.
     """
     kept_fields(docs, keep, ("n_words", "spans", "items"))
-    rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    out = StructType([f for f in rows.schema.fields if f.name in keep] + FOUND.fields)
+    return _passes(rows, benchmark, window, max_words, _found, out)
+
+
+#: What a pass finds of a text.
+FOUND = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, window: int, max_words: int, emit: Callable, out: StructType) -> DataFrame:
+    """What `emit` makes of the rows, their words' places and all that was found in them; its columns are those of `out`. One Python operator a pass."""
     items, n = parts(benchmark, max_words)
+    state = rows.withColumns({f"_{f.name}": F.lit(None).cast(f.dataType) for f in FOUND.fields})
     for k in range(n):
         found = [(r["name"], np.frombuffer(r["words"], np.uint64)) for r in items.where(F.col("part") == k).select("name", "words").collect()]  # one part
-        rows = rows.mapInArrow(_pass(sorted(found, key=lambda x: (x[0], x[1].tobytes())), window), rows.schema)
+        part = sorted(found, key=lambda x: (x[0], x[1].tobytes()))
         if k + 1 < n:
-            rows = stored(rows)
-    return rows if "text" in keep else rows.drop("text")
+            state = stored(state.mapInArrow(_pass(part, window, _kept, state.columns), state.schema))
+    return state.mapInArrow(_pass(part, window, emit, out.names), out)
+
+
+def _columns(spans: list, items: list, n_words: np.ndarray) -> dict[str, pa.Array]:
+    flat = [[int(x) for s in spans_ for x in s] for spans_ in spans]
+    return {"n_words": pa.array(n_words.astype(np.int64)), "spans": pa.array(flat, pa.list_(pa.int64())), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+
+
+def _found(t: Texts, begin: np.ndarray, end: np.ndarray, at: np.ndarray, spans: list, items: list, names: list[str]) -> pa.RecordBatch:
+    """The columns named, as results."""
+    made = _columns(spans, items, np.diff(at))
+    return pa.RecordBatch.from_arrays([made[c] if c in made else t.rows.column(c) for c in names], names=names)
+
+
+def _kept(t: Texts, begin: np.ndarray, end: np.ndarray, at: np.ndarray, spans: list, items: list, names: list[str]) -> pa.RecordBatch:
+    """The columns named, for the next pass."""
+    made = {f"_{k}": v for k, v in _columns(spans, items, np.diff(at)).items()}
+    return pa.RecordBatch.from_arrays([made[c] if c in made else t.rows.column(c) for c in names], names=names)
 
 
 def _tables(part: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray, Automaton, int, np.ndarray]:
@@ -158,7 +191,7 @@ def _tables(part: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray
     return vocabulary, auto, min([window, *(len(h) for _, h in part)]), pairs
 
 
-def _pass(part: list[tuple[str, np.ndarray]], window: int):
+def _pass(part: list[tuple[str, np.ndarray]], window: int, emit: Callable, names: list[str]):
     name = hashlib.blake2b(b"".join([window.to_bytes(8, "little"), *[x.encode() + b"\0" + h.tobytes() for x, h in part]])).hexdigest()
 
     def run(batches):
@@ -170,10 +203,10 @@ def _pass(part: list[tuple[str, np.ndarray]], window: int):
         n = np.uint64(max(1, len(vocabulary)))
         for batch in batches:
             for t in chunks([batch], forget=False):
-                begin, _, h = words(t, ALNUM, LOWER)
+                begin, end, h = words(t, ALNUM, LOWER)
                 at = np.searchsorted(begin, np.append(t.starts, t.size))
-                spans = [list(zip(s[0::2], s[1::2], strict=True)) if s else [] for s in t.rows.column("spans").to_pylist()]
-                items = [set(x or ()) for x in t.rows.column("items").to_pylist()]
+                spans = [list(zip(s[0::2], s[1::2], strict=True)) if s else [] for s in t.rows.column("_spans").to_pylist()]
+                items = [set(x or ()) for x in t.rows.column("_items").to_pylist()]
                 if len(vocabulary) and len(h):
                     word = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                     ok = vocabulary[word] == h
@@ -190,9 +223,7 @@ def _pass(part: list[tuple[str, np.ndarray]], window: int):
                         if b - a >= shortest:
                             d = own[a]
                             spans[d] += [(x + a - at[d], y + a - at[d]) for x, y in auto.matches(word[a:b].tolist(), items[d])]
-                flat = [[int(x) for s in merged(s) for x in s] for s in spans]
-                cols = {"n_words": pa.array(np.diff(at).astype(np.int64)), "spans": pa.array(flat, pa.list_(pa.int64())), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([cols.get(c, t.rows.column(i)) for i, c in enumerate(t.rows.schema.names)], names=t.rows.schema.names)
+                yield emit(t, begin, end, at, [merged(x) for x in spans], items, names)
 
     return run
 
@@ -216,26 +247,20 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_percent:
     their text (null too) as it is.
     """
     names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
-    rows = scan(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), benchmark, *names, window=window)
-    schema = StructType([StructField(n, f.dataType) for f, n in zip(docs.schema.fields, names, strict=True)])
-
-    def cut(batches):
-        for batch in batches:
-            for t in chunks([batch], forget=False):
-                begin, end, _ = words(t, ALNUM, LOWER)
-                at = np.searchsorted(begin, t.starts)
-                texts, keep = t.rows.column("text").to_pylist(), []
-                for i, (s, n) in enumerate(zip(t.rows.column("spans").to_pylist(), t.rows.column("n_words").to_pylist(), strict=True)):
-                    if s:
-                        if 100 * sum(b - a for a, b in zip(s[0::2], s[1::2], strict=True)) > max_percent * n:
-                            continue
-                        out, last = [], 0
-                        for a, b in zip(s[0::2], s[1::2], strict=True):
-                            out.append(t.raw[i][last : begin[at[i] + a] - t.starts[i]])
-                            last = end[at[i] + b - 1] - t.starts[i]
-                        texts[i] = b" ".join(x.strip(b" ") for x in (*out, t.raw[i][last:])).decode("utf-8", "replace").strip(" ")
-                    keep.append(i)
-                batch_out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else t.rows.column(c) for c in names], names=names)
-                yield batch_out.take(pa.array(keep, pa.int64()))
-
-    return rows.select(*names, "n_words", "spans").mapInArrow(cut, schema).toDF(*docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+
+    def cut(t, begin, end, at, spans, items, names):
+        texts, keep = t.rows.column("text").to_pylist(), []
+        for i, (s, first, n) in enumerate(zip(spans, at, np.diff(at), strict=False)):
+            if s:
+                if 100 * sum(b - a for a, b in s) > max_percent * n:
+                    continue
+                out, last = [], 0
+                for a, b in s:
+                    out.append(t.raw[i][last : begin[first + a] - t.starts[i]])
+                    last = end[first + b - 1] - t.starts[i]
+                texts[i] = b" ".join(x.strip(b" ") for x in (*out, t.raw[i][last:])).decode("utf-8", "replace").strip(" ")
+            keep.append(i)
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else t.rows.column(c) for c in names], names=names).take(pa.array(keep, pa.int64()))
+
+    return _passes(rows, benchmark, window, MAX_WORDS, cut, rows.schema).toDF(*docs.columns)
