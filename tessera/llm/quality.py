@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3) ->
     docs = docs.select(*dict.fromkeys((*keep, "text")))
 
     def apply(batches):
-        for t in chunks(batches):
+        for t in chunks(batches, 1 << 20):
             z = np.full(len(t.raw), model.bias)
             for family, bucket, own in features(t, model.bits):
                 n = np.bincount(own, minlength=len(z))
