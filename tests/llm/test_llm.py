@@ -375,18 +375,129 @@ def test_lm(docs, none, rows):
     assert lm.score(none, held_out(10), path).count() == 0
 
 
+def small_model(seed=0, n=300):
+    """A model of n subword ids with random counts and parameters, the last id the texts' end; and a block of texts."""
+    rng = np.random.default_rng(seed)
+    lens = rng.integers(1, 4, 80)
+    flat = rng.integers(0, n - 1, int(lens.sum()))
+    each = np.array([0, 5, 60, 1, 30])
+    words = rng.integers(0, 80, int(each.sum()))
+    block = lm.Block(np.arange(5), each, np.array([0, 1, 0, lm.HELD, 0], np.uint8), words, lens, flat, np.arange(80))
+    count = np.bincount(words[np.repeat(block.marks != lm.HELD, each)], minlength=80)
+    begin = np.cumsum(lens) - lens
+    firsts, inside = np.bincount(flat[begin], count, minlength=n), np.bincount(flat, np.repeat(count, lens), minlength=n)
+    begins = firsts.copy()
+    firsts[n - 1] += 4
+    output = lm.outer(firsts, lm.grouped(rng.standard_normal((n, lm.SIGNS)) * firsts[:, None], firsts))
+    inner = rng.integers(0, lm.INNER, n)
+    net = {k: (0.3 * rng.standard_normal(s)).astype(np.float32) for k, s in lm.SHAPES.items()}
+    model = lm.Model(rng.integers(0, lm.INPUTS, n), inner, lm.share(inside, inner), output, lm.share(firsts, output), np.zeros(0), begins, 0.7, net, n - 1)
+    pairs = np.bincount(lm.pair_keys(model, lens, flat), np.repeat(count, lens), minlength=lm.GROUPS * lm.INNER * (lm.INNER + 1))
+    model.after = lm.after_counts(pairs, np.bincount(inner, inside + 0.1, minlength=lm.INNER))
+    return model, block, count
+
+
+def word_vector(model, block, word):
+    """Of a place: -2 is a text's begin."""
+    if word == -2:
+        return model.net["emb"][lm.INPUTS].astype(float)
+    a = int(np.cumsum(block.lens)[word] - block.lens[word])
+    return model.net["emb"][model.input[block.flat[a : a + block.lens[word]]]].astype(float).mean(0)
+
+
+def naive_scores(model, block, count):
+    """Each text word by word, each with an attention of its own, in plain loops."""
+    net, out, at = {k: v.astype(float) for k, v in model.net.items()}, [], 0
+    begin = np.cumsum(block.lens) - block.lens
+    for m in block.each:
+        words = block.words[at : at + m].tolist()
+        at += m
+        places, total = [-2, *words], 0.0
+        for t in range(m + 1):
+            row = t // lm.STRIDE
+            low = max(0, row * lm.STRIDE - lm.BEFORE)
+            seen = [word_vector(model, block, places[i]) + net["pos"][i - row * lm.STRIDE + lm.BEFORE] for i in range(low, t + 1)]
+            q = seen[-1] @ net["q"] / math.sqrt(lm.DIM)
+            a = np.exp([q @ (x @ net["k"]) for x in seen])
+            z = sum(w * (x @ net["v"]) for w, x in zip(a / a.sum(), seen, strict=True))
+            h = seen[-1] + z @ net["o"]
+            id_ = block.flat[begin[words[t]]] if t < m else model.end_id
+            cls = int(model.output[id_])
+            g, own = cls // lm.EACH, slice(cls // lm.EACH * lm.EACH, (cls // lm.EACH + 1) * lm.EACH)
+            z1, z2 = h @ net["u"] + net["c"][0], h @ net["w"][:, own] + net["d"][0, own]
+            total += (z1[g] - np.log(np.exp(z1).sum()) + z2[cls % lm.EACH] - np.log(np.exp(z2).sum())) / math.log(10) + model.first[id_]
+            if t < m:
+                w = words[t]
+                ids = block.flat[begin[w] : begin[w] + block.lens[w]]
+                steps = [(model.inner[x], model.inner[y], model.share[y]) for x, y in zip(ids, ids[1:], strict=False)]
+                after = model.after.reshape(lm.GROUPS, lm.INNER, lm.INNER + 1)[g]
+                chain = sum(after[x, y] + s for x, y, s in steps) + after[model.inner[ids[-1]], lm.INNER]
+                known = count[w] / model.begins[id_] if model.begins[id_] else 0
+                total += math.log10(model.known * known + (1 - model.known) * 10**chain)
+        out.append(total)
+    return out
+
+
+def test_lm_attention_against_plain():
+    """Batched masked attention in overlapping windows gives what word by word gives, texts longer than a window among them."""
+    model, block, count = small_model()
+    assert np.allclose(lm.score_block(model, block, count), naive_scores(model, block, count), atol=2e-3)
+    assert np.allclose(lm.score_block(model, block, count, per_step=1), lm.score_block(model, block, count), atol=2e-3)
+
+
+def test_lm_gradients():
+    """Gradients against differences of the loss."""
+    model, block, _ = small_model(1)
+    model.net = {k: v.astype(np.float64) for k, v in model.net.items()}
+    places = lm.Places(block.words, block.each)
+    begin = np.cumsum(block.lens) - block.lens
+    run = lambda: lm.loss(model, places, 0, len(places.owner), model.input[block.flat], begin, block.lens, block.flat[begin])
+    _, grads, n = run()
+    assert n == len(block.words) + len(block.each)
+    rng = np.random.default_rng(0)
+    for name, g in grads.items():
+        flat = np.abs(g).ravel()
+        for at in rng.choice(np.flatnonzero(flat > np.quantile(flat, 0.5)), 3):
+            value, i = model.net[name], np.unravel_index(at, g.shape)
+            old, step = value[i], 1e-3
+            value[i] = old + step
+            up = run()[0]
+            value[i] = old - step
+            down = run()[0]
+            value[i] = old
+            assert abs((up - down) / (2 * step) - g[i]) < 2e-2 * abs(g[i]) + 2e-5, (name, i)
+
+
+def test_lm_probabilities():
+    """At each place the classes' probabilities sum to 1; in each group so do those of what follows a subword; an id's share of its class sums to 1."""
+    model, _, _ = small_model(2)
+    h = np.random.default_rng(3).standard_normal((4, lm.DIM)).astype(np.float32)
+    total = sum(np.exp(lm.choose(model.net, h, np.full(4, c))[0]) for c in range(lm.OUTPUTS))
+    assert np.allclose(total, 1, atol=1e-4)
+    after = 10 ** model.after.astype(float).reshape(-1, lm.INNER + 1)
+    assert np.allclose(after.sum(1), 1, atol=1e-4)
+    for kind, share in ((model.output, model.first), (model.inner, model.share)):
+        assert np.allclose(np.bincount(kind, 10**share)[np.unique(kind)], 1)
+
+
 def test_lm_learns_from_all_rows(docs, rows):
-    """Each training row is a lesson of one round, and all its subwords are learnt from, and its end."""
+    """Each training row is learnt from in one round, with all its words and its end."""
     path = tokens.vocabulary("byte_bpe_50k.json")
     made = lm.blocks(docs.select("doc_id", held_out(10).alias("held_out"), "text"), path, 4)
-    known = tokens.words(path, True, False, 300_000)
-    want = [sum(len(known[x]) // 4 for x in SPACED.findall((t or "").translate(LOW))) for d, t, _, _ in rows if crc(d, 10) not in (0, None)]
-    lessons = made.where(F.col("kind") == lm.LESSONS).select("turn", "a", "b").toArrow()
-    assert Counter(n for x in lessons.column("a").to_pylist() for n in np.frombuffer(x, "<u4").tolist()) == Counter(want)
-    assert set(lessons.column("turn").to_pylist()) <= set(range(lm.ROUNDS))
-    model = lm._counts_model(made.where(F.col("kind") == lm.COUNTS).select("key", "n"), 50_257, 50_256, len(want))
-    (out,) = lm._learner(model, 50_256, 0)(lessons.to_batches())
-    assert out.column("x")[-1].as_py() == sum(want) + len(want)
+    got = made.where(F.col("kind") == lm.TEXTS).select(*lm.FIELDS)
+    model = lm._counts_model(made.where(F.col("kind") == lm.COUNTS).select("key", "n"), got, 50_257, 50_256, len(rows))
+    want = sum(len(SPACED.findall(t or "")) + 1 for d, t, _, _ in rows if crc(d, 10) not in (0, None))
+    learnt = 0
+    for turn in range(lm.ROUNDS):
+        (out,) = lm._learner(model, turn)(got.toArrow().to_batches())
+        learnt += out.column("x")[-1].as_py()
+    assert learnt == want
+
+
+def test_lm_beats_the_base(spark):
+    """On texts that were held out the model gives more than the words' counts."""
+    r = QUERIES["op5_lm_scoring"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
 
 
 def test_lm_very_long_word(spark, rows):
@@ -402,29 +513,6 @@ def test_lm_very_long_word(spark, rows):
     assert beside.keys() == alone.keys() and all(abs(beside[d] - x) < 1e-3 for d, x in alone.items())
 
 
-def test_lm_classes():
-    """Attention chooses among many classes: ids with counts like those of words fall into far over 32."""
-    _, output, _ = lm.classes(1e6 / np.arange(1, 50_258))
-    assert len(set(output.tolist())) > 128
-
-
-def test_lm_probabilities():
-    """Windows score each subword once, and the next subword's probabilities sum to 1."""
-    rng = np.random.default_rng(0)
-    lm_counts = rng.integers(0, 50, 3000).astype(float)
-    fine, output, share = lm.classes(lm_counts)
-    full = np.append(np.bincount(fine, minlength=lm.INPUTS) > 0, True)
-    within, skip = lm.skips(rng.random((lm.INPUTS, lm.INPUTS + 1)) * full, np.append(rng.random(lm.INPUTS), 0)[:-1] * full[:-1], np.bincount(fine, lm_counts + 0.1, minlength=lm.INPUTS), lm._coarse(fine, output))
-    model = lm.Model(fine, output, share, within, skip, lm.start())
-    text = rng.integers(0, 3000, 70)
-    x, target, owner, n = lm.windows([text, text[:0]], model.input, 5)
-    assert target[target >= 0].tolist() == [*text.tolist(), 5, 5] and n.tolist() == [71, 1]
-    short = lm.score_ids(model, [text[:40]], 0)[0]
-    total = sum(10 ** (lm.score_ids(model, [text[:40]], v)[0] - lm.score_ids(model, [text[:40]], 0)[0]) for v in range(0, 3000))
-    steps = lm.score_ids(model, [text[:39]], int(text[39]))[0]
-    assert abs(math.log10(total) + short - steps) < 1e-3
-
-
 def classes(rows, width, percent):
     sets = []
     for d, t, _, _ in rows:
