@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
 from .flat import LOWER, NOT_SPACE, chunks, words
-from .tokens import words as word_ids
+from .tokens import pattern, ranked
 
 #: Width of vectors; classes of subwords in context; groups of first subwords, and classes of a group; places of a window, and how many of them are scored.
 DIM, INPUTS, GROUPS, EACH, SPAN, STRIDE = 16, 2048, 8, 32, 32, 24
@@ -28,7 +28,7 @@ DIM, INPUTS, GROUPS, EACH, SPAN, STRIDE = 16, 2048, 8, 32, 32, 24
 INNER, SIGNS = 768, 8
 OUTPUTS, BEFORE = GROUPS * EACH, SPAN - STRIDE
 #: A document takes part in round k of training if its hash modulo ROUNDS is k. Windows of a step: the first SOON steps of a task have FEW, the next ones twice as many, and so on up to BATCH.
-ROUNDS, BATCH, FEW, SOON = 2, 64, 4, 32
+ROUNDS, BATCH, FEW, SOON = 2, 128, 4, 32
 SHAPES = {"emb": (INPUTS + 1, DIM), "pos": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, GROUPS), "c": (1, GROUPS), "w": (DIM, OUTPUTS), "d": (1, OUTPUTS)}
 
 #: Rows: a block of texts; its words by part of their hash, to be counted; counts of subwords.
@@ -58,6 +58,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
     counts in training rows); COUNTS of a task's training rows (key: a subword id; 65536 + id, words that begin with it; 131072 + SIGNS * id + k, number k
     of the texts around those words, summed, in millionths).
     """
+    cut_by = pattern()
     names = ("kind", "block", "part", "key", "n", "a", "b", "c", "d", "e")
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
 
@@ -67,7 +68,7 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
     def run(batches):
         from pyspark import TaskContext
 
-        known_ids = word_ids(tokenizer, True, False, 300_000)
+        encode = ranked(tokenizer, cut_by)
         block = TaskContext.get().partitionId() << 24
         signs = np.random.default_rng(5).standard_normal((SIGNS, 65536)).astype(np.float32)
         sums, around = np.zeros(131072, np.int64), np.zeros((65536, SIGNS), np.int64)
@@ -86,10 +87,9 @@ def blocks(docs: DataFrame, tokenizer: str, parts: int, limit: int = 8_000_000)
                 rank = np.empty(len(order), "<u4")
                 rank[order] = np.arange(len(order))
                 first = first[order]
-                ids = [known_ids[low[i:j].decode("utf-8", "replace")] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+                lens, flat = encode([low[i:j].decode("utf-8", "replace") for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
+                flat = flat.astype("<u2")
                 del low, begin, end, h
-                lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                flat = np.frombuffer(b"".join(ids), "<u4").astype("<u2")
                 firsts, n_words = flat[np.cumsum(lens) - lens].astype(np.int64), n[order]
                 sums[:65536] += np.bincount(flat, np.repeat(n_words, lens), minlength=65536).astype(np.int64)
                 sums[65536:] += np.bincount(firsts, n_words, minlength=65536).astype(np.int64)
@@ -284,7 +284,8 @@ def attend(net: dict[str, np.ndarray], e: np.ndarray, none: np.ndarray) -> tuple
     q = (last @ (net["q"] * DIM**-0.5)).reshape(b, STRIDE, DIM)
     k, v = (flat @ net["k"]).reshape(b, SPAN, DIM), (flat @ net["v"]).reshape(b, SPAN, DIM)
     a = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(a, 30, out=a)  # exp() stays finite
+    if a.max() > 30:
+        np.minimum(a, 30, out=a)  # exp() stays finite
     a += MASK
     if none[:, :BEFORE].any():
         a[:, :, :BEFORE] -= none[:, None, :BEFORE] * np.float32(1e9)
@@ -319,36 +320,42 @@ def choose(net: dict[str, np.ndarray], h: np.ndarray, at: np.ndarray, learn: boo
     group, n = at // EACH, np.arange(len(at))
     z = h @ net["u"]
     z += net["c"]
-    np.clip(z, -30, 30, out=z)  # exp() stays finite
-    p = np.exp(z)
+    p = exponents(z)
     total = p @ np.ones((GROUPS, 1), np.float32)
     out = z[n, group] - np.log(total[:, 0])
+    # rows of one group stand together and meet its classes alone
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-    if learn:
-        p /= total
-        p[n, group] -= 1
-        gh = p @ net["u"].T
-        grads = {"u": h.T @ p, "c": p.sum(0, keepdims=True), "w": np.zeros_like(net["w"]), "d": np.zeros_like(net["d"])}
-    for g in range(GROUPS):  # rows of one group meet its classes alone
-        rows = order[(ends[g - 1] if g else 0) : ends[g]]
-        if not len(rows):
-            continue
-        part = slice(g * EACH, (g + 1) * EACH)
-        own, w = h[rows], net["w"][:, part]
-        z = own @ w
-        z += net["d"][:, part]
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    parts = [(slice(a, b), slice(g * EACH, (g + 1) * EACH)) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+    own, j = h[order], at[order] % EACH
+    y = np.empty((len(at), EACH), h.dtype)
+    for rows, cols in parts:
+        np.matmul(own[rows], net["w"][:, cols], out=y[rows])
+        y[rows] += net["d"][:, cols]
+    r = exponents(y)
+    mass = r @ np.ones((EACH, 1), np.float32)
+    out[order] += y[n, j] - np.log(mass[:, 0])
+    if not learn:
+        return (out,)
+    p /= total
+    p[n, group] -= 1
+    r /= mass
+    r[n, j] -= 1
+    back = np.empty_like(own)
+    grads = {"u": h.T @ p, "c": p.sum(0, keepdims=True), "w": np.zeros_like(net["w"]), "d": np.zeros_like(net["d"])}
+    for rows, cols in parts:
+        np.matmul(r[rows], net["w"][:, cols].T, out=back[rows])
+        grads["w"][:, cols], grads["d"][:, cols] = own[rows].T @ r[rows], np.ones((1, len(r[rows])), np.float32) @ r[rows]
+    gh = p @ net["u"].T
+    gh[order] += back
+    return out, gh, grads
+
+
+def exponents(z: np.ndarray) -> np.ndarray:
+    """exp(z), finite: z is held within 30, in place, where it isn't already."""
+    if z.size and (z.max() > 30 or z.min() < -30):
         np.clip(z, -30, 30, out=z)
-        p = np.exp(z)
-        total = p @ np.ones((EACH, 1), np.float32)
-        j, m = at[rows] - g * EACH, np.arange(len(rows))
-        out[rows] += z[m, j] - np.log(total[:, 0])
-        if learn:
-            p /= total
-            p[m, j] -= 1
-            gh[rows] += p @ w.T
-            grads["w"][:, part], grads["d"][:, part] = own.T @ p, p.sum(0, keepdims=True)
-    return (out, gh, grads) if learn else (out,)
+    return np.exp(z)
 
 
 def summed(key: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -504,7 +511,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, vocabulary: int = 5
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
     Tokens are words (runs of other characters than ASCII white space, A-Z lowered) and one end. Rows that are held out teach nothing. A null text is an
-    empty one and has the end alone. Equal texts get equal scores. Words are told apart by 64-bit hashes. With no training rows every count is 0. An empty table gives no rows.
+    empty one and has the end alone. tokenizer: a file of ranks (tiktoken), with `end_id` free. Equal texts get equal scores. Words are told apart by 64-bit hashes. With no training rows every count is 0. An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "text").withColumn("held_out", held_out)

@@ -33,7 +33,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read(spark, sf_dir, "documents"), held_out(10), vocabulary("byte_bpe_50k.json"))
+    return lm.score(read(spark, sf_dir, "documents"), held_out(10), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

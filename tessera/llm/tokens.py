@@ -5,11 +5,14 @@ A text is cut where the tokenizer's own rules cut it in any case, so that a word
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 from .flat import process_cache
 
 #: Words that a process keeps at most; beyond it the cache starts anew.
@@ -123,6 +126,47 @@ def words(path: str, blank: bool, lower: bool, most: int = MOST_WORDS) -> Words:
     return kept[key]
 
 
+def pattern() -> str:
+    """How the byte-level vocabularies cut a text."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def ranked(path: str, cut: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function of words without blanks that gives how many subwords each has, with a blank before it, and all their ids. path: a file of ranks; cut: how it cuts a text.
+
+    Words go to the library together. A blank between two other characters always begins a token, so tokens that begin with one tell the words apart.
+    """
+    import tiktoken
+
+    kept = process_cache()
+    if path not in kept:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        first = np.zeros(max(ranks.values()) + 1, bool)
+        first[[k for x, k in ranks.items() if x.startswith(b" ")]] = True
+        kept[path] = tiktoken.Encoding("words", pat_str=cut, mergeable_ranks=ranks, special_tokens={}), first
+    encoding, first = kept[path]
+
+    def alone(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [encoding.encode_ordinary(" " + x) for x in words]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.array([i for x in found for i in x], np.int64)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [len(x.split()) != 1 for x in words]  # white space beyond ASCII inside, which joins with the blanks around
+        if any(odd):
+            lens, flat = alone(words)
+            return lens, flat
+        ids = np.array(encoding.encode_ordinary(" " + " ".join(words)) if words else [], np.int64)
+        begin = np.flatnonzero(first[ids])
+        if len(begin) != len(words):
+            return alone(words)
+        return np.diff(np.append(begin, len(ids))), ids
+
+    return encode
+
+
 #: White space beside white space or at an end, where the byte-level rules look at more than the next character.
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")

@@ -163,6 +163,21 @@ def test_encoders(name, make, rows):
         assert np.frombuffer(encode(t), "<u4").tolist() == whole(path, t), repr(t)
 
 
+def test_ranked_words(rows):
+    """Words that go to the library together get the ids that each gets alone."""
+    encode = tokens.ranked(tokens.vocabulary("byte_bpe_50k.tiktoken"), tokens.pattern())
+    some = sorted({w for r in rows for w in SPACED.findall((r[1] or "").translate(LOW))} | {"a'b", "123", "!!", "é", "<|endoftext|>", "x\x7f"})
+    for words in (some, [w for w in some if len(w.split()) == 1], []):
+        lens, flat = encode(words)
+        want = [loaded_plain().encode(" " + w, add_special_tokens=False).ids for w in words]
+        assert lens.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+@functools.cache
+def loaded_plain():
+    return tokens._load(tokens.vocabulary("byte_bpe_50k.json"), True)
+
+
 def test_wavelet(spark, docs, none, rows, monkeypatch):
     path = tokens.vocabulary("word_bpe_49k.json")
     got = wavelet.read(wavelet.manifest(docs, path, shard_bytes=20_000)).collect()
@@ -361,7 +376,7 @@ def test_rules_lose_no_language(spark):
 
 
 def test_lm(docs, none, rows):
-    path = tokens.vocabulary("byte_bpe_50k.json")
+    path = tokens.vocabulary("byte_bpe_50k.tiktoken")
     got = lm.score(docs, held_out(10), path).collect()
     words = [(d, [*SPACED.findall((t or "").translate(LOW)), "\n"]) for d, t, _, _ in rows]
     c = Counter(x for d, w in words if crc(d, 10) not in (0, None) for x in w)
@@ -482,7 +497,7 @@ def test_lm_probabilities():
 
 def test_lm_learns_from_all_rows(docs, rows):
     """Each training row is learnt from in one round, with all its words and its end."""
-    path = tokens.vocabulary("byte_bpe_50k.json")
+    path = tokens.vocabulary("byte_bpe_50k.tiktoken")
     made = lm.blocks(docs.select("doc_id", held_out(10).alias("held_out"), "text"), path, 4)
     got = made.where(F.col("kind") == lm.TEXTS).select(*lm.FIELDS)
     model = lm._counts_model(made.where(F.col("kind") == lm.COUNTS).select("key", "n"), got, 50_257, 50_256, len(rows))
@@ -502,9 +517,9 @@ def test_lm_beats_the_base(spark):
 
 def test_lm_very_long_word(spark, rows):
     """A word of more than 65,535 subwords counts with all of them, and other documents of its block score as without it."""
-    path = tokens.vocabulary("byte_bpe_50k.json")
+    path = tokens.vocabulary("byte_bpe_50k.tiktoken")
     word = "".join(np.random.default_rng(2).choice(list("0123456789!?%"), 150_000))
-    assert len(whole(path, word)) > 65_535
+    assert len(whole(tokens.vocabulary("byte_bpe_50k.json"), word)) > 65_535
     made = [(i, t) for i, (_, t, _, _) in enumerate(rows[:40], 1)]
     score = lambda x: {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(x, "doc_id long, text string").coalesce(1), F.col("doc_id") == 0, path).collect()}
     # the word occurs twice, so that words that occur once are numbered after it
