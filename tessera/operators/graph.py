@@ -1,4 +1,7 @@
-"""Edges to adjacency, vertices and degrees. Edges are a bag: a repeated edge counts each time, and a loop adds 2 to its vertex's degree."""
+"""Edges to adjacency, vertices and degrees.
+
+Edges are a bag: a repeated edge counts each time, and a loop adds 2 to its vertex's degree. An edge with a null end is none.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def whole(edges: DataFrame) -> DataFrame:
+    """The edges with two ends."""
+    return edges.where("src is not null and dst is not null")
+
+
 def vertex_count(edges: DataFrame) -> DataFrame:
     """n: the largest id and one, 0 without edges."""
-    return edges.agg(F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0)).cast("long").alias("n"))
+    return whole(edges).agg(F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0)).cast("long").alias("n"))
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
     """id, nbr: each edge from either end."""
+    edges = whole(edges)
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).unionAll(edges.select(F.col("dst").alias("id"), F.col("src").alias("nbr")))
 
 
@@ -29,7 +38,7 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 def total_degree(edges: DataFrame) -> DataFrame:
     """total: twice the number of edges."""
-    return edges.agg((2.0 * F.count("*")).alias("total"))
+    return whole(edges).agg((2.0 * F.count("*")).alias("total"))
 
 
 def repulsion_factor(edges: DataFrame, attraction: float = 0.05, repulsion: float = 0.0) -> DataFrame:

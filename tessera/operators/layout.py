@@ -1,11 +1,15 @@
 """Force-directed layout: attraction along edges, degree-weighted repulsion between all vertices, and a line search for each vertex.
 
-The operators below are DataFrame expressions. run_layout() iterates: a graph within stated bounds is laid out by one task, in numpy; a larger one by
-DataFrame joins for attraction and a broadcast cell pyramid of bounded size for repulsion.
+The operators below are DataFrame expressions; layout_step() is one move of some vertices. run_layout() iterates: a graph within stated bounds is laid out by
+one task, in numpy, a larger one by layout_step() again and again. Both follow the same rules and give the same layout but for rounding.
 """
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import DOWN, UP, coordinates, exponents, line_search, potential, pull, repulsion_factor, squared_distance, uniform
 from . import graph
-from .pyramid import Tree, bounding_box, cell_pyramid
-from .store import cut
+from .pyramid import Tree, accepted, cell_pyramid, grid_of
+from .store import cut, drop
 
 STEPS = (0, *DOWN, *UP)
 
@@ -102,6 +106,41 @@ def _repulsion(d2: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok, e, 0.0), np.where(ok, safe ** (0.5 * r - 1), 0.0)
 
 
+def approximate_repulsion(near: DataFrame, r: float, factor: float, dims: int = 3) -> DataFrame:
+    """id, energy, g0..: repulsion by cells that stand for all other vertices. near: rows of pyramid.accepted()."""
+    x, y = _xy(dims)
+    d2, scale = squared_distance(x, y), factor * F.col("deg") * F.col("mass")
+    sums = [F.sum(scale * (x[i] - y[i]) * pull(d2, r)).alias(f"g{i}") for i in range(dims)]
+    return near.groupBy("id").agg((-F.sum(scale * potential(d2, r))).alias("energy"), *sums)
+
+
+def layout_step(adj: DataFrame, pos: DataFrame, a: float, r: float, factor: float, depth: int, dims: int = 3, movers: Column | None = None) -> DataFrame:
+    """id, x0.. (new), step, energy of each mover: its direction, the energies at all steps along it, and the step that the line search takes.
+
+    pos: id, x0.., deg; movers (a condition on pos; by default all) with edges move, and see all vertices where they are in pos. energy is a mover's at its
+    new place. A vertex doesn't attract itself.
+    """
+    names, grid = coordinates(dims), grid_of(pos, dims)
+    own = pos.where((F.col("deg") > 0) & (F.lit(True) if movers is None else movers)).select("id", *names, "deg")
+    cells = cut(cell_pyramid(pos, depth, dims, grid))
+    near = cut(accepted(own, cells, grid, depth, dims))
+    push = approximate_repulsion(near, r, factor, dims).select("id", *[F.col(f"g{i}").alias(f"r{i}") for i in range(dims)])
+    mine = adj.join(own.select("id"), "id", "left_semi")
+    pulls = attractive_direction(mine, pos, a, dims)
+    total = [(F.coalesce(f"g{i}", F.lit(0.0)) + F.coalesce(f"r{i}", F.lit(0.0))).alias(f"g{i}") for i in range(dims)]
+    moved = cut(own.join(push, "id", "left").join(pulls, "id", "left").select("id", *names, *total))
+    x, y = _xy(dims)
+    trial = {s: [c + F.col(f"g{i}") * (s / 32) for i, c in enumerate(x)] for s in STEPS}
+    loop = F.col("id") == F.col("nbr")
+    attract = _pairs(mine, pos, dims, moved).groupBy("id").agg(*[F.sum(F.when(loop, 0.0).otherwise(potential(squared_distance(trial[s], y), a))).alias(f"a{s}") for s in STEPS])
+    scale = -factor * F.col("deg") * F.col("mass")
+    repel = near.drop(*names).join(moved, "id").groupBy("id").agg(*[F.sum(scale * potential(squared_distance(trial[s], y), r)).alias(f"r{s}") for s in STEPS])
+    both = moved.join(attract, "id", "left").join(repel, "id", "left")
+    both = line_search_step(both.select("id", *names, *[f"g{i}" for i in range(dims)], *[(F.coalesce(f"a{s}", F.lit(0.0)) + F.coalesce(f"r{s}", F.lit(0.0))).alias(f"e{s}") for s in STEPS]))
+    best = reduce(F.coalesce, [F.when(F.col("step") == s, F.col(f"e{s}")) for s in STEPS])
+    return both.select("id", *[(F.col(c) + F.col(f"g{i}") * F.col("step") / 32).alias(c) for i, c in enumerate(names)], "step", best.alias("energy"))
+
+
 def line_search_step(energies: DataFrame) -> DataFrame:
     """Adds step (in 32nds) to rows with e0, e32, e16, ..., e128."""
     return energies.withColumn("step", line_search(F.col("e0"), {s: F.col(f"e{s}") for s in STEPS[1:]}))
@@ -111,17 +150,29 @@ def total_energy(energies: DataFrame) -> DataFrame:
     return energies.agg(F.sum("energy").alias("energy"))
 
 
+def search(e0: np.ndarray, energy) -> tuple[np.ndarray, np.ndarray]:
+    """line_search() on arrays: steps and their energies. energy(rows, s) gives some rows' energies at a step, and is asked only for rows whose search goes on."""
+    best, step, rows = e0.copy(), np.zeros(len(e0)), np.arange(len(e0))
+    for s in DOWN:
+        if not len(rows):
+            break
+        e = energy(rows, s)
+        better = e < best[rows]
+        rest = better | (step[rows] == 0)
+        best[rows[better]], step[rows[better]] = e[better], s
+        rows = rows[rest]
+    for s in UP:
+        rows = np.flatnonzero(step == s // 2)
+        if len(rows):
+            e = energy(rows, s)
+            better = e < best[rows]
+            best[rows[better]], step[rows[better]] = e[better], s
+    return step, best
+
+
 def choose(e: np.ndarray) -> np.ndarray:
-    """line_search() on arrays: rows of energies in the order of STEPS; the step of each."""
-    best, step, go = e[:, 0].copy(), np.zeros(len(e)), np.ones(len(e), bool)
-    for k, s in enumerate(DOWN, 1):
-        better = go & (e[:, k] < best)
-        go &= (step == 0) | better
-        best[better], step[better] = e[better, k], s
-    for k, s in enumerate(UP, 1 + len(DOWN)):
-        better = (step == s // 2) & (e[:, k] < best)
-        best[better], step[better] = e[better, k], s
-    return step
+    """The steps for rows of energies in the order of STEPS."""
+    return search(e[:, 0], lambda rows, s: e[rows, STEPS.index(s)])[0]
 
 
 class Layout:
@@ -145,42 +196,63 @@ class Layout:
         if not len(own):
             return 0.0
         n, x, w = len(own), self.x[own], self.w[own]
-        tree = Tree(self.x, self.w, self.c.depth)
-        at, mass, centre = tree.masses(x, own, w)
-        diff = x[at] - centre
-        _, f = _repulsion((diff**2).sum(1), r)
-        f = self.factor * w[at] * mass * f
-        g = np.stack([np.bincount(at, diff[:, i] * f, minlength=n) for i in range(x.shape[1])], 1)
-        y = self.x[dst]
-        loop = src == dst
-        diff = y - x[row]
-        d2 = (diff**2).sum(1)
-        pulls = np.where(d2 > 0, np.where(d2 > 0, d2, 1) ** (0.5 * a - 1), 0)
-        g += np.stack([np.bincount(row, diff[:, i] * pulls, minlength=n) for i in range(x.shape[1])], 1)
-        e = np.empty((n, len(STEPS)))
-        for k, s in enumerate(STEPS):
+        at, mass, centre = Tree(self.x, self.w, self.c.depth).masses(x, own, w)
+        keep = src != dst
+        row, y = row[keep], self.x[dst[keep]]
+        logs = lambda p, q: np.log(np.maximum(((p - q) ** 2).sum(1), 1e-300))  # noqa: E731  of squared distances; nothing lies at distance 0 but by chance
+
+        def energies(at, row, log_cell, log_edge):
+            rep = 0.5 * log_cell if r == 0 else np.exp(0.5 * r * log_cell) / r
+            att = 0.5 * log_edge if a == 0 else np.exp(0.5 * a * log_edge) / a
+            rep[log_cell < -600], att[log_edge < -600] = 0, 0
+            return np.bincount(row, att, minlength=n) - self.factor * w * np.bincount(at, mass_now * rep, minlength=n)
+
+        mass_now, cell, edge = mass, logs(x[at], centre), logs(x[row], y)
+        e0 = energies(at, row, cell, edge)
+        f = np.where(cell < -600, 0, self.factor * w[at] * mass * np.exp((0.5 * r - 1) * cell))
+        pulls = np.where(edge < -600, 0, np.exp((0.5 * a - 1) * edge))
+        g = np.stack([np.bincount(at, (x[at, i] - centre[:, i]) * f, minlength=n) + np.bincount(row, (y[:, i] - x[row, i]) * pulls, minlength=n) for i in range(x.shape[1])], 1)
+        now = [np.ones(n, bool), at, mass, centre, row, y]
+
+        def energy(rows, s):
+            nonlocal mass_now
+            wanted = np.zeros(n, bool)
+            wanted[rows] = True
+            if (wanted & ~now[0]).any():  # the search goes up again: from all pairs
+                now[:] = [np.ones(n, bool), at, mass, centre, row, y]
+            if not wanted.all() and 2 * wanted.sum() < now[0].sum() * 1.5:
+                i, j = wanted[now[1]], wanted[now[4]]
+                now[:] = [wanted, now[1][i], now[2][i], now[3][i], now[4][j], now[5][j]]
             p = x + g * (s / 32)
-            rep, _ = _repulsion(((p[at] - centre) ** 2).sum(1), r)
-            e[:, k] = -self.factor * w * np.bincount(at, mass * rep, minlength=n)
-            d2 = np.where(loop, 0, ((y - p[row]) ** 2).sum(1))
-            pot = 0.5 * np.log(np.maximum(d2, 1e-24)) if a == 0 else d2 ** (0.5 * a) / a
-            e[:, k] += np.bincount(row, np.where(d2 > 0, pot, 0), minlength=n)
-        step = choose(e)
+            mass_now = now[2]
+            return energies(now[1], now[4], logs(p[now[1]], now[3]), logs(p[now[4]], now[5]))[rows]
+
+        step, best = search(e0, energy)
         self.x[own] = x + g * (step / 32)[:, None]
-        return float(e[np.arange(n), [STEPS.index(s) for s in step.astype(int).tolist()]].sum())
+        return float(best.sum())
 
-    def run(self) -> list[tuple[int, float, float, float]]:
-        metrics = []
+    def run(self):
+        """After each iteration: its number, energy, exponents and milliseconds."""
         for i in range(1, self.c.iterations + 1):
+            began = time.perf_counter()
             a, r = exponents(i, self.c.iterations, self.c.attraction, self.c.repulsion)
-            metrics.append((i, sum(self.move(*b, a, r) for b in self.blocks), a, r))
-        return metrics
+            yield i, sum(self.move(*b, a, r) for b in self.blocks), a, r, int(1000 * (time.perf_counter() - began))
+
+
+@dataclass
+class Layouts:
+    """positions: id, x0.., deg after all iterations; metrics: iter, energy, a, r, ms; snapshots: iter, id, x0.. of the iterations kept."""
 
+    positions: DataFrame
+    metrics: DataFrame
+    snapshots: DataFrame
 
-def run_layout(edges: DataFrame, config: Config = Config(), most_vertices: int = 200_000, most_edges: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """Positions (id, x0.., deg) after all iterations, and metrics (iter, energy, a, r).
 
-    Vertices without edges keep their first position. A graph of at most most_vertices and most_edges is laid out by one task, whose memory those bound.
+def run_layout(edges: DataFrame, config: Config = Config(), most_vertices: int = 200_000, most_edges: int = 2_000_000) -> Layouts:
+    """The layout after config.iterations, and after every config.snapshots-th of them (0: of none).
+
+    energy is the sum of the vertices' energies at the places they moved to, each at its own move. Vertices without edges keep their first position. A graph of at most most_vertices and most_edges is laid out by one task, whose memory
+    those bound; the result is the same. Edges with a null end are left out; no edges give no rows.
     """
     spark, names = edges.sparkSession, coordinates(config.dims)
     adj = cut(graph.symmetrise(edges))
@@ -207,87 +279,40 @@ def _in_one_task(adj: DataFrame, start: DataFrame, config: Config) -> tuple[Data
         edges = np.stack((ids[e], nbr[e]), 1)
         edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]  # sums don't depend on the order of arrival
         layout = Layout(ids[v][order], x, edges[:, 0], edges[:, 1], config, t.column("block").to_numpy()[v][order])
-        metrics = layout.run()
-        cols = [pa.array(ids[v][order]), pa.array(layout.w), *[pa.array(layout.x[:, i]) for i in range(len(names))]]
-        none = [pa.nulls(len(ids[v]), pa.float64())] * 3
-        yield pa.RecordBatch.from_arrays([*cols, *none], names=["id", "deg", *names, "energy", "a", "r"])
-        m = len(metrics)
-        yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in metrics], pa.int64()), pa.array([-1.0] * m), *[pa.array([0.0] * m)] * len(names), *[pa.array([q[k] for q in metrics], pa.float64()) for k in (1, 2, 3)]], names=["id", "deg", *names, "energy", "a", "r"])
+        own, n = pa.array(ids[v][order]), int(v.sum())
+
+        def places(i):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), own, pa.array(layout.w), *[pa.array(layout.x[:, k].copy()) for k in range(len(names))], *[pa.nulls(n, pa.float64())] * 4], names=fields)
 
-    schema = "id long, deg double, " + ", ".join(f"{c} double" for c in names) + ", energy double, a double, r double"
-    out = cut(both.coalesce(1).mapInArrow(run, schema))
-    return out.where("deg >= 0").select("id", *names, "deg"), out.where("deg < 0").select(F.col("id").cast("int").alias("iter"), "energy", "a", "r")
+        for i, *found in layout.run():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([-1]), pa.array([0.0]), *[pa.array([0.0])] * len(names), *[pa.array([float(q)]) for q in found]], names=fields)
+            if config.snapshots and i % config.snapshots == 0:
+                yield places(i)
+        yield places(0)
 
+    fields = ["iter", "id", "deg", *names, "energy", "a", "r", "ms"]
+    out = cut(both.coalesce(1).mapInArrow(run, "iter long, id long, deg double, " + ", ".join(f"{c} double" for c in (*names, "energy", "a", "r", "ms"))))
+    metrics = out.where("id < 0").select(F.col("iter").cast("int").alias("iter"), "energy", "a", "r", F.col("ms").cast("long").alias("ms"))
+    return Layouts(out.where("id >= 0 and iter = 0").select("id", *names, "deg"), metrics, out.where("id >= 0 and iter > 0").select(F.col("iter").cast("int").alias("iter"), "id", *names))
 
-def _distributed(spark, adj: DataFrame, start: DataFrame, config: Config, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Joins for attraction; repulsion by a pyramid that is sent to all tasks, of as many levels as keep it under 250,000 cells."""
+
+def _distributed(spark, adj: DataFrame, start: DataFrame, config: Config, names: list[str]) -> Layouts:
+    """layout_step() for each block in turn; positions are stored after each."""
     total = start.agg(F.sum("deg")).first()[0] or 0.0
-    factor, pos, metrics = repulsion_factor(total, config.attraction, config.repulsion), start, []
+    factor, pos, last, metrics, kept = repulsion_factor(total, config.attraction, config.repulsion), start, None, [], []
     for i in range(1, config.iterations + 1):
-        a, r = exponents(i, config.iterations, config.attraction, config.repulsion)
+        began, (a, r) = time.perf_counter(), exponents(i, config.iterations, config.attraction, config.repulsion)
         energy = 0.0
         for b in range(config.blocks):
-            cells = cut(cell_pyramid(pos, config.depth, config.dims))
-            sizes = dict(cells.groupBy("level").count().collect())
-            level = max((k for k in sizes if sum(sizes[j] for j in sizes if j <= k) <= 250_000), default=0)
-            t = cells.where(F.col("level") == level).toArrow()
-            centre = np.stack([t.column(f"com{k}").to_numpy() for k in range(config.dims)], 1).reshape(-1, config.dims)
-            tree = (centre, t.column("weight").to_numpy())
-            box = bounding_box(pos.where("deg > 0"), config.dims).first()
-            half = [(box[f"hi{k}"] - box[f"lo{k}"]) / 2 or 0.5 for k in range(config.dims)]
-            grid = ([(box[f"lo{k}"] - h, box[f"hi{k}"] - box[f"lo{k}"] + 2 * h) for k, h in enumerate(half)], level, {c: n for n, c in enumerate(zip(*[t.column(f"c{k}").to_pylist() for k in range(config.dims)], strict=True))})
-            own = pos.where((F.col("block") == b) & (F.col("deg") > 0))
-            push = own.mapInArrow(_pushes(tree, grid, names, factor, r, config.depth), "id long, " + ", ".join(f"{c} double" for c in names) + ", " + ", ".join(f"r{k} double" for k in range(config.dims)))
-            pulls = attractive_direction(adj.join(own.select("id"), "id", "left_semi"), pos, a, config.dims)
-            moved = cut(push.join(pulls, "id").select("id", *names, *[(F.col(f"g{k}") + F.col(f"r{k}")).alias(f"g{k}") for k in range(config.dims)]))
-            _, y = _xy(config.dims)
-            loop = F.col("id") == F.col("nbr")
-            sums = [F.sum(F.when(loop, 0.0).otherwise(potential(squared_distance([F.col(c) + F.col(f"g{k}") * (s / 32) for k, c in enumerate(names)], y), a))).alias(f"a{s}") for s in STEPS]
-            attract = _pairs(adj, pos, config.dims, moved).groupBy("id").agg(*sums)
-            repel = moved.join(own.select("id", "deg"), "id").mapInArrow(_energies(tree, grid, names, factor, r, config.depth), "id long, " + ", ".join(f"r{s} double" for s in STEPS))
-            both = moved.join(attract, "id").join(repel, "id")
-            both = line_search_step(both.select("id", *[f"g{k}" for k in range(config.dims)], *[(F.col(f"a{s}") + F.col(f"r{s}")).alias(f"e{s}") for s in STEPS]))
-            best = F.least(*[F.when(F.col("step") == s, F.col(f"e{s}")) for s in STEPS])
-            steps = both.select("id", *[(F.col(f"g{k}") * F.col("step") / 32).alias(f"m{k}") for k in range(config.dims)], best.alias("energy"))
-            pos = cut(pos.drop("energy").join(steps, "id", "left").select("id", "deg", "block", *[(F.col(c) + F.coalesce(F.col(f"m{k}"), F.lit(0.0))).alias(c) for k, c in enumerate(names)], "energy"))
-            energy += pos.agg(F.sum("energy")).first()[0] or 0.0
-            pos = pos.drop("energy")
-        metrics.append((i, energy, a, r))
-    return pos.select("id", *names, "deg"), spark.createDataFrame(metrics, "iter int, energy double, a double, r double")
-
-
-def _own_cell(x: np.ndarray, grid: tuple) -> np.ndarray:
-    """The number of the finest cell that holds each vertex."""
-    box, level, number = grid
-    cells = [np.floor((x[:, k] - low) / width * 2.0**level).astype(np.int64).tolist() for k, (low, width) in enumerate(box)]
-    return np.array([number[c] for c in zip(*cells, strict=True)], np.int64)
-
-
-def _pushes(cells: tuple, grid: tuple, names: list[str], factor: float, r: float, depth: int):
-    """Repulsive directions of a batch of vertices: the finest level's cells are the points of a tree."""
-
-    def run(batches):
-        tree = Tree(*cells, depth)
-        for batch in batches:
-            x, w = np.stack([batch.column(c).to_numpy() for c in names], 1), batch.column("deg").to_numpy()
-            at, mass, centre = tree.masses(x, _own_cell(x, grid), w)
-            diff = x[at] - centre
-            f = factor * w[at] * mass * _repulsion((diff**2).sum(1), r)[1]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[batch.column(c) for c in names], *[pa.array(np.bincount(at, diff[:, i] * f, minlength=len(x))) for i in range(len(names))]], names=["id", *names, *[f"r{i}" for i in range(len(names))]])
-
-    return run
-
-
-def _energies(cells: tuple, grid: tuple, names: list[str], factor: float, r: float, depth: int):
-    """Repulsive energies of a batch of vertices at each trial step."""
-
-    def run(batches):
-        tree = Tree(*cells, depth)
-        for batch in batches:
-            x, w = np.stack([batch.column(c).to_numpy() for c in names], 1), batch.column("deg").to_numpy()
-            g = np.stack([batch.column(f"g{i}").to_numpy() for i in range(len(names))], 1)
-            at, mass, centre = tree.masses(x, _own_cell(x, grid), w)
-            out = [-factor * w * np.bincount(at, mass * _repulsion(((x + g * (s / 32))[at] - centre) ** 2 @ np.ones(len(names)), r)[0], minlength=len(x)) for s in STEPS]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, out)], names=["id", *[f"r{s}" for s in STEPS]])
-
-    return run
+            moved = layout_step(adj, pos, a, r, factor, config.depth, config.dims, F.col("block") == b)
+            new = moved.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in names], "energy")
+            after = cut(pos.join(new, pos["id"] == F.col("_id"), "left").select("id", "deg", "block", *[F.coalesce(f"_{c}", c).alias(c) for c in names], "energy"))
+            energy += after.agg(F.sum("energy")).first()[0] or 0.0
+            if last is not None and not any(last is k for _, k in kept):
+                drop(last)
+            last, pos = after, after.drop("energy")
+        metrics.append((i, energy, a, r, int(1000 * (time.perf_counter() - began))))
+        if config.snapshots and i % config.snapshots == 0:
+            kept.append((i, last))
+    shots = [df.select(F.lit(i).alias("iter"), "id", *names) for i, df in kept] or [pos.select(F.lit(0).alias("iter"), "id", *names).where("false")]
+    return Layouts(pos.select("id", *names, "deg"), spark.createDataFrame(metrics, "iter int, energy double, a double, r double, ms long"), reduce(DataFrame.unionByName, shots))

@@ -16,6 +16,7 @@ from ..operators.store import cut
 class Result:
     positions: DataFrame
     metrics: DataFrame
+    snapshots: DataFrame
     eps: float | None
     clusters: DataFrame
     communities: DataFrame
@@ -30,10 +31,10 @@ def find_communities(points: DataFrame, config: Config = Config()) -> tuple[floa
 
 
 def detect(edges: DataFrame, config: Config = Config()) -> Result:
-    positions, metrics = run_layout(edges, config)
-    eps, clusters = find_communities(positions.drop("deg"), config)
+    found = run_layout(edges, config)
+    eps, clusters = find_communities(found.positions.drop("deg"), config)
     clusters = cut(clusters)
-    return Result(positions, metrics, eps, clusters, density.communities(clusters))
+    return Result(found.positions, found.metrics, found.snapshots, eps, clusters, density.communities(clusters))
 
 
 def detect_communities(edges: DataFrame, config: Config = Config()) -> DataFrame:

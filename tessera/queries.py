@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .functions import uniform
+from .functions import add, contains, scale, uniform
 from .operators import density, graph, layout
-from .operators.pyramid import bounding_box
+from .operators.pyramid import accepted, bounding_box, grid_of
 from .operators.pyramid import cell_pyramid as pyramid_of
 from .plans import detect, find_communities
 from .sources import community_lines as lines_of
@@ -131,7 +131,7 @@ def detect_communities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layout_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.run_layout(trade(spark, sf), Config())[1]
+    return layout.run_layout(trade(spark, sf), Config()).metrics
 
 
 def _steps_input(spark: SparkSession) -> DataFrame:
@@ -155,6 +155,22 @@ def _pyramid(spark: SparkSession, sf: str) -> DataFrame:
     return _r(pyramid_of(_pos(spark, sf), 4), "com0", "com1", "com2").select("level", "c0", "c1", "c2", "weight", F.col("n").cast("long").alias("n"), "com0", "com1", "com2")
 
 
+def _stand_ins(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands for all other vertices of the geo forest in a pyramid of 4 levels below its root."""
+    pos = _pos(spark, sf)
+    grid = grid_of(pos)
+    return accepted(pos.where("deg > 0"), pyramid_of(pos, 4, grid=grid), grid, 4)
+
+
+def _approximate(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(layout.approximate_repulsion(_stand_ins(spark, sf), 0.9, _factor(spark, sf)), "energy", "g0", "g1", "g2", digits=5)
+
+
+def _step(spark: SparkSession, sf: str) -> DataFrame:
+    """The first move of the geo forest, all vertices at once."""
+    return layout.layout_step(graph.symmetrise(geo(spark, sf)), _pos(spark, sf), 1.15, 0.9, _factor(spark, sf), 4)
+
+
 def _edges_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parse_edges(spark.createDataFrame([(x,) for x in LINES], "value string"))
 
@@ -178,6 +194,11 @@ QUERIES = {
     "repulsive_direction": lambda s, d: _r(layout.exact_repulsion(_pos(s, d), 0.9, _factor(s, d)).drop("energy"), "g0", "g1", "g2", digits=5),
     "total_energy": lambda s, d: _r(layout.total_energy(layout.attractive_energy(graph.symmetrise(geo(s, d)), _pos(s, d), 1.15)), "energy", digits=3),
     "cell_pyramid": _pyramid,
+    "approximate_repulsion": _approximate,
+    "layout_step": lambda s, d: _r(_r(_step(s, d), "energy", digits=4), "x0", "x1", "x2", digits=5).select("id", F.col("step").cast("int").alias("step"), "energy", "x0", "x1", "x2"),
+    "step_energy": lambda s, d: _r(layout.total_energy(_step(s, d)), "energy", digits=2),
+    "vector_sum": lambda s, d: _read(s, d, "embeddings").select("vec_id", F.transform(scale(add(F.col("embedding").cast("array<double>"), F.reverse(F.col("embedding").cast("array<double>"))), 0.5), lambda x: F.round(x, 6) + F.lit(0.0))[5].alias("x5")),
+    "membership": lambda s, d: _read(s, d, "nation").groupBy("n_regionkey").agg(F.collect_list("n_nationkey").alias("keys")).select("n_regionkey", contains(F.col("keys"), 7).alias("has")),
     "line_search_step": lambda s, d: layout.line_search_step(_steps_input(s)).select("id", "step"),
     "k_distance": lambda s, d: _r(density.k_distance(points(s, d)), "k_dist"),
     "k_distance_curve": lambda s, d: _r(density.curve(density.k_distance(points(s, d))), "k_dist"),
@@ -189,12 +210,33 @@ QUERIES = {
     "density_flood": lambda s, d: _clusters(s, d, "flood"),
     "density_canonical": lambda s, d: _clusters(s, d, "canonical"),
     "noise_bucket": lambda s, d: _communities(s, d).select("cluster_id", F.size("members").cast("long").alias("n")),
-    "community_members": lambda s, d: _communities(s, d).select("cluster_id", F.explode("members").alias("id")),
+    "community_members": lambda s, d: density.community_members(_clusters(s, d, "flood")),
     "community_lines": lambda s, d: lines_of(_communities(s, d)),
     "layout_metrics": layout_metrics,
     "detect_communities": detect_communities,
 }
 
+_S = "(o.x{0} + g.g{0} * s / 32.0 - {1}{0})"
+_TRY = lambda y: "(" + " + ".join(f"{_S.format(i, y)} * {_S.format(i, y)}" for i in range(3)) + ")"
+NEAR = POS + f""", m AS (SELECT * FROM pos WHERE deg > 0), bx AS (SELECT {', '.join(f'min(x{i}) AS l{i}, max(x{i}) AS h{i}' for i in range(3))} FROM m),
+    w AS (SELECT *, greatest(w0, w1, w2) AS side FROM (SELECT {', '.join(f'l{i} - 0.51 * (h{i} - l{i}) AS o{i}, 2.03 * (h{i} - l{i}) AS w{i}' for i in range(3))} FROM bx)),
+    cells AS (SELECT level, c0, c1, c2, sum(deg) AS weight, count(*) AS n, {', '.join(f'sum(deg * x{i}) / sum(deg) AS x{i}' for i in range(3))}
+        FROM (SELECT CAST(level AS INTEGER) AS level, {', '.join(f'CAST(floor((x{i} - o{i}) / w{i} * pow(2, level)) AS BIGINT) AS c{i}' for i in range(3))}, deg, x0, x1, x2 FROM m, w, (SELECT unnest(range(5)) AS level)) GROUP BY 1, 2, 3, 4),
+    fr(id, level, c0, c1, c2) AS (SELECT id, CAST(0 AS INTEGER), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM m
+        UNION ALL SELECT f.id, k.level, k.c0, k.c1, k.c2 FROM fr f JOIN cells q ON q.level = f.level AND q.c0 = f.c0 AND q.c1 = f.c1 AND q.c2 = f.c2 JOIN m p ON p.id = f.id
+            JOIN cells k ON k.level = f.level + 1 AND k.c0 // 2 = f.c0 AND k.c1 // 2 = f.c1 AND k.c2 // 2 = f.c2, w WHERE f.level < 4 AND q.n > 1 AND {D2} < pow(side / pow(2, f.level), 2)),
+    hit AS (SELECT p.id, p.deg, p.x0, p.x1, p.x2, q.weight, q.x0 AS z0, q.x1 AS z1, q.x2 AS z2, {' AND '.join(f'floor((p.x{i} - o{i}) / w{i} * pow(2, f.level)) = q.c{i}' for i in range(3))} AS own
+        FROM fr f JOIN cells q ON q.level = f.level AND q.c0 = f.c0 AND q.c1 = f.c1 AND q.c2 = f.c2 JOIN m p ON p.id = f.id, w WHERE f.level = 4 OR q.n = 1 OR {D2} >= pow(side / pow(2, f.level), 2)),
+    near AS (SELECT id, deg, weight - CASE WHEN own THEN deg ELSE 0 END AS mass, x0, x1, x2, {', '.join(f'CASE WHEN own THEN (weight * z{i} - deg * x{i}) / (weight - deg) ELSE z{i} END AS y{i}' for i in range(3))} FROM hit WHERE NOT own OR weight - deg > 1e-9 * weight)"""
+_N2 = "((n.x0 - n.y0) * (n.x0 - n.y0) + (n.x1 - n.y1) * (n.x1 - n.y1) + (n.x2 - n.y2) * (n.x2 - n.y2))"
+STEP = NEAR + f""", push AS (SELECT id, {', '.join(f'sum(factor * n.deg * n.mass * (n.x{i} - n.y{i}) * pow({_N2}, -0.55)) AS r{i}' for i in range(3))} FROM near n, fac WHERE {_N2} > 0 GROUP BY 1),
+    pulls AS (SELECT p.id, {', '.join(f'sum((q.x{i} - p.x{i}) * pow({D2}, -0.425)) AS a{i}' for i in range(3))} FROM adj JOIN pos p ON p.id = adj.id JOIN pos q ON q.id = adj.nbr WHERE {D2} > 0 GROUP BY 1),
+    o AS (SELECT * FROM m), g AS (SELECT o.id, {', '.join(f'coalesce(r{i}, 0) + coalesce(a{i}, 0) AS g{i}' for i in range(3))} FROM o LEFT JOIN push ON push.id = o.id LEFT JOIN pulls ON pulls.id = o.id),
+    ss AS (SELECT unnest([{', '.join(map(str, layout.STEPS))}]) AS s),
+    ea AS (SELECT o.id, s, sum(CASE WHEN adj.id = adj.nbr OR {_TRY('q.x')} <= 0 THEN 0 ELSE pow({_TRY('q.x')}, 0.575) / 1.15 END) AS v FROM o JOIN g ON g.id = o.id JOIN adj ON adj.id = o.id JOIN pos q ON q.id = adj.nbr, ss GROUP BY 1, 2),
+    er AS (SELECT o.id, s, -sum(factor * o.deg * n.mass * CASE WHEN {_TRY('n.y')} > 0 THEN pow({_TRY('n.y')}, 0.45) / 0.9 ELSE 0 END) AS v FROM o JOIN g ON g.id = o.id JOIN near n ON n.id = o.id, ss, fac GROUP BY 1, 2),
+    e AS (SELECT id, {', '.join(f'sum(CASE WHEN s = {k} THEN v ELSE 0 END) AS e{k}' for k in layout.STEPS)} FROM (SELECT * FROM ea UNION ALL SELECT * FROM er) GROUP BY 1),
+    {_case_search()}"""
 _VALUES = ", ".join("('" + x.replace("'", "''") + "')" for x in LINES)
 _G = "q.x{0} - p.x{0}"
 SQL = {
@@ -221,9 +263,14 @@ SQL = {
     "repulsive_direction": f"WITH {POS} SELECT p.id, " + ", ".join(f"round(any_value(factor) * any_value(p.deg) * sum(CASE WHEN p.id <> q.id THEN CASE WHEN {D2} > 0 THEN q.deg * (p.x{i} - q.x{i}) * pow({D2}, -0.55) ELSE 0 END ELSE 0 END), 5) + 0.0 AS g{i}" for i in range(3)) + " FROM pos p, pos q, fac GROUP BY 1",
     "total_energy": f"WITH {POS} SELECT round(sum(CASE WHEN {D2} > 0 THEN pow({D2}, 0.575) / 1.15 ELSE 0 END), 3) AS energy FROM adj JOIN pos p ON p.id = adj.id JOIN pos q ON q.id = adj.nbr",
     "cell_pyramid": f"""WITH {POS}, m AS (SELECT * FROM pos WHERE deg > 0), bx AS (SELECT {', '.join(f'min(x{i}) AS l{i}, max(x{i}) AS h{i}' for i in range(3))} FROM m),
-        w AS (SELECT {', '.join(f'l{i} - (h{i} - l{i}) / 2 AS o{i}, 2 * (h{i} - l{i}) AS w{i}' for i in range(3))} FROM bx),
+        w AS (SELECT {', '.join(f'l{i} - 0.51 * (h{i} - l{i}) AS o{i}, 2.03 * (h{i} - l{i}) AS w{i}' for i in range(3))} FROM bx),
         c AS (SELECT CAST(level AS INTEGER) AS level, {', '.join(f'CAST(floor((x{i} - o{i}) / w{i} * pow(2, level)) AS BIGINT) AS c{i}' for i in range(3))}, deg, x0, x1, x2 FROM m, w, (SELECT unnest(range(5)) AS level))
         SELECT level, c0, c1, c2, sum(deg) AS weight, count(*) AS n, {', '.join(f'round(sum(deg * x{i}) / sum(deg), 6) + 0.0 AS com{i}' for i in range(3))} FROM c GROUP BY 1, 2, 3, 4""",
+    "approximate_repulsion": f"WITH RECURSIVE {NEAR} SELECT n.id, round(-sum(factor * n.deg * n.mass * CASE WHEN {_N2} > 0 THEN pow({_N2}, 0.45) / 0.9 ELSE 0 END), 5) + 0.0 AS energy, " + ", ".join(f"round(sum(CASE WHEN {_N2} > 0 THEN factor * n.deg * n.mass * (n.x{i} - n.y{i}) * pow({_N2}, -0.55) ELSE 0 END), 5) + 0.0 AS g{i}" for i in range(3)) + " FROM near n, fac GROUP BY 1",
+    "layout_step": f"WITH RECURSIVE {STEP} SELECT t8.id, CAST(b AS INTEGER) AS step, round(m, 4) + 0.0 AS energy, " + ", ".join(f"round(o.x{i} + g.g{i} * b / 32.0, 5) + 0.0 AS x{i}" for i in range(3)) + " FROM t8 JOIN o ON o.id = t8.id JOIN g ON g.id = t8.id",
+    "step_energy": f"WITH RECURSIVE {STEP} SELECT round(sum(m), 2) AS energy FROM t8",
+    "vector_sum": "SELECT vec_id, round((CAST(embedding[6] AS DOUBLE) + CAST(embedding[59] AS DOUBLE)) * 0.5, 6) + 0.0 AS x5 FROM embeddings",
+    "membership": "SELECT n_regionkey, list_contains(list(n_nationkey), 7) AS has FROM nation GROUP BY 1",
     "line_search_step": "WITH e AS (SELECT id, " + ", ".join(f"round({_u('e' + str(s))}, 3) AS e{s}" for s in layout.STEPS) + f" FROM (SELECT unnest(range(500)) AS id)), {_case_search()} SELECT id, CAST(b AS INTEGER) AS step FROM t8",
     "k_distance": f"WITH {_kd(PTS3)} SELECT id, round(k_dist, 6) AS k_dist FROM kd",
     "k_distance_curve": f"WITH {_kd(PTS3)} SELECT id, round(k_dist, 6) AS k_dist, rn, n FROM cv",

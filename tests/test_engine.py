@@ -82,13 +82,24 @@ def test_equal_k_distances_and_few_points(spark):
     assert density.cluster(few, None).where("is_noise").count() == 3
 
 
+def test_null_ends_and_coordinates(spark):
+    """An edge with a null end is none; a point with a null or NaN coordinate is noise."""
+    e = spark.createDataFrame([(0, 1), (None, 1), (1, None), (None, None)], "src long, dst long")
+    assert sorted(map(tuple, graph.vertices(e).collect())) == [(0, 1.0), (1, 1.0)]
+    assert detect(e, Config(iterations=1)).clusters.count() == 2
+    rows = [(i, 0.1 * i, 0.0) for i in range(20)] + [(20, None, 0.0), (21, 0.0, float("nan"))]
+    got = {r["id"]: r["is_noise"] for r in density.cluster(spark.createDataFrame(rows, "id long, x0 double, x1 double"), 0.5).collect()}
+    assert len(got) == 22 and got[20] and got[21] and not any(got[i] for i in range(20))
+
+
 def test_blocked_k_distance(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 2))
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x0 double, x1 double")
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)[:, 6]
-    got = {r["id"]: r["k_dist"] for r in density.k_distance(df, 7, block=64).collect()}
-    assert np.allclose([got[i] for i in range(300)], d)
+    for block in (64, 5):  # blocks of fewer than k points too
+        got = {r["id"]: r["k_dist"] for r in density.k_distance(df, 7, block=block).collect()}
+        assert np.allclose([got[i] for i in range(300)], d)
 
 
 def planted(n=240, k=4, seed=0):
@@ -117,12 +128,19 @@ def test_recovery(spark, tmp_path):
 def test_distributed_layout(spark):
     edges, _ = planted(60, 2)
     df = spark.createDataFrame(edges, "src long, dst long")
-    config = Config(iterations=2, blocks=2, depth=6)
-    one, _ = layout.run_layout(df, config)
-    many, metrics = layout.run_layout(df, config, most_vertices=1)
-    a, b = ({r["id"]: (r["x0"], r["x1"], r["x2"]) for r in q.collect()} for q in (one, many))
-    assert a.keys() == b.keys() and metrics.count() == 2
-    assert np.corrcoef(np.array([a[i] for i in a]).ravel(), np.array([b[i] for i in a]).ravel())[0, 1] > 0.9
+    config = Config(iterations=2, blocks=2, depth=6, snapshots=1)
+    one = layout.run_layout(df, config)
+    many = layout.run_layout(df, config, most_vertices=1)
+    a, b = ({r["id"]: (r["x0"], r["x1"], r["x2"]) for r in q.positions.collect()} for q in (one, many))
+    assert a.keys() == b.keys() and many.metrics.columns == one.metrics.columns
+    # joins and numpy give one layout
+    assert np.allclose([a[i] for i in a], [b[i] for i in a], atol=1e-6)
+    for x, y in zip(one.metrics.orderBy("iter").collect(), many.metrics.orderBy("iter").collect(), strict=True):
+        assert np.allclose(x[:4], y[:4])
+    assert sorted(r["iter"] for r in one.snapshots.select("iter").distinct().collect()) == [1, 2]
+    for r in (one, many):
+        last = {q["id"]: (q["x0"], q["x1"], q["x2"]) for q in r.snapshots.where("iter = 2").collect()}
+        assert last == {q["id"]: (q["x0"], q["x1"], q["x2"]) for q in r.positions.collect()}
 
 
 def test_edge_file_and_stream(spark, tmp_path):
