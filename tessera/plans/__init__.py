@@ -24,10 +24,11 @@ class Result:
 
 def find_communities(points: DataFrame, config: Config = Config()) -> tuple[float | None, DataFrame]:
     """The radius (none without enough points) and the clusters of points (id, x0..)."""
-    curve = density.curve(density.k_distance(points, config.min_pts), config.prune)
+    kdist = cut(density.k_distance(points, config.min_pts))
+    curve = density.curve(kdist, config.prune)
     row = density.elbow_eps(curve, config.elbow).first()
     eps = row["eps"] if row else None
-    return eps, density.cluster(points, eps, config.min_pts, config.mode)
+    return eps, density.cluster(points, eps, config.min_pts, config.mode, kdist)
 
 
 def detect(edges: DataFrame, config: Config = Config()) -> Result:

@@ -102,6 +102,30 @@ def test_blocked_k_distance(spark):
         assert np.allclose([got[i] for i in range(300)], d)
 
 
+def plain_components(x, eps):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    out = np.full(len(x), -1)
+    for i in range(len(x)):
+        if out[i] < 0:
+            stack, out[i] = [i], i
+            while stack:
+                for j in np.flatnonzero(near[stack.pop()] & (out < 0)):
+                    out[j] = i
+                    stack.append(j)
+    return out.tolist()
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_linked_cells(spark, dims):
+    """Components by cells are those by points: sparse ones, a crowded cell, equal points, and cells that only inner points link."""
+    rng = np.random.default_rng(dims)
+    x = np.concatenate((rng.random((150, dims)) * 8 ** (1 / dims) * 2, 3 + 0.05 * rng.standard_normal((150, dims)), np.repeat(rng.random((5, dims)), 4, 0)))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, " + ", ".join(f"x{i} double" for i in range(dims)))
+    for eps in (0.0, 0.02, 0.2, 0.35):
+        got = {r["id"]: r["component"] for r in density.linked_cells(df, eps).collect()}
+        assert [got[i] for i in range(len(x))] == plain_components(x, eps)
+
+
 def planted(n=240, k=4, seed=0):
     rng = np.random.default_rng(seed)
     own = np.arange(n) % k
