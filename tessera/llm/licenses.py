@@ -2,7 +2,7 @@
 
 Each rule has a keyword; its regex runs only on texts that hold the keyword, and no rule runs on a text without any mark of a licence. A detection
 whose words lie within those of another is dropped; of equal detections the rule that comes first stands. The rules are the products of licences'
-names and phrasings, in order of priority, then standard notices and passages of licences' bodies.
+names and phrasings, in order of priority, then standard notices and passages of licences' bodies, and signatures written out one by one.
 """
 
 from __future__ import annotations
@@ -111,16 +111,146 @@ NOTICES = (
     ("cc0-1", "associated a work with this deed", r"the person who associated a work with this deed has dedicated the work to the public domain", 1.0),
 )
 
+#: More signatures, written out one by one: headers, titles, short forms and statements that name no licence by the phrasings above.
+SIGNATURES = (
+    ("agpl-3", "affero general public", r"gnu affero general public licen[sc]e version 3 19 november 2007", 1.0),
+    ("gpl-3", "general public", r"gnu general public licen[sc]e version 3 29 june 2007", 1.0),
+    ("gpl-2", "general public", r"gnu general public licen[sc]e version 2 june 1991", 1.0),
+    ("gpl-1", "general public", r"gnu general public licen[sc]e version 1 february 1989", 1.0),
+    ("lgpl-3", "lesser general public", r"gnu lesser general public licen[sc]e version 3 29 june 2007", 1.0),
+    ("lgpl-2.1", "lesser general public", r"gnu lesser general public licen[sc]e version 2 1 february 1999", 1.0),
+    ("lgpl-2", "library general public", r"gnu library general public licen[sc]e version 2 june 1991", 1.0),
+    ("gfdl-1.3", "free documentation", r"(?:gnu )?free documentation licen[sc]e version 1 3", 1.0),
+    ("gfdl-1.2", "free documentation", r"(?:gnu )?free documentation licen[sc]e version 1 2", 1.0),
+    ("gfdl", "free documentation", r"gnu free documentation licen[sc]e", 0.95),
+    ("gpl-3", "gplv3", r"gplv3", 0.9),
+    ("gpl-2", "gplv2", r"gplv2", 0.9),
+    ("lgpl-3", "lgplv3", r"lgplv3", 0.9),
+    ("lgpl-2.1", "lgplv2", r"lgplv2(?: 1)?", 0.9),
+    ("agpl-3", "agplv3", r"agplv3", 0.9),
+    ("gpl", "you should have received a copy of the gnu general", r"you should have received a copy of the gnu general public licen[sc]e along with this", 0.9),
+    ("lgpl", "you should have received a copy of the gnu lesser", r"you should have received a copy of the gnu lesser general public licen[sc]e along with this", 0.9),
+    ("agpl-3", "you should have received a copy of the gnu affero", r"you should have received a copy of the gnu affero general public licen[sc]e along with this", 0.95),
+    ("apache-2", "apache org licenses", r"(?:https? )?(?:www )?apache org licenses license 2 0", 1.0),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation", 0.8),
+    ("apache-2", "asf licenses this file", r"the asf licenses this file to you under the apache license version 2 0", 1.0),
+    ("apache-2", "apache licensed", r"apache licensed", 0.7),
+    ("mit", "mit licensed", r"mit licensed", 0.8),
+    ("mit", "opensource org licenses", r"opensource org licenses mit(?: license)?", 1.0),
+    ("mit-0", "mit no attribution", r"mit no attribution", 0.95),
+    ("x11", "x consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising", 0.95),
+    ("mit", "the above copyright notice and this permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
+    ("bsd", "bsd licensed", r"bsd licensed", 0.8),
+    ("bsd-2-clause", "opensource org licenses", r"opensource org licenses bsd 2 clause", 1.0),
+    ("bsd-3-clause", "opensource org licenses", r"opensource org licenses bsd 3 clause", 1.0),
+    ("bsd", "opensource org licenses", r"opensource org licenses bsd license", 0.9),
+    ("bsd", "bsd style", r"bsd style licen[sc]e", 0.9),
+    ("bsd", "redistributions of source code must retain", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.85),
+    ("bsd-3-clause", "nor the names of its contributors", r"nor the names of its contributors may be used to endorse or promote products", 0.9),
+    ("isc", "internet systems consortium", r"copyright (?:c )?[0-9 ]{4,20}by internet systems consortium inc", 0.8),
+    ("isc", "opensource org licenses", r"opensource org licenses isc", 1.0),
+    ("zlib", "opensource org licenses", r"opensource org licenses zlib", 1.0),
+    ("zlib", "altered source versions must be", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0.95),
+    ("bsl-1", "boost org license", r"boost org license 1 0(?: txt)?", 1.0),
+    ("bsl-1", "boost software", r"boost software licen[sc]e version 1 0 august 17th 2003", 1.0),
+    ("mpl-2", "mozilla org mpl 2", r"mozilla org mpl 2 0", 1.0),
+    ("mpl-1.1", "mozilla org mpl 1", r"mozilla org mpl (?:mpl )?1 1", 1.0),
+    ("mpl-1.1", "contents of this file are subject to the mozilla", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1", 1.0),
+    ("epl-2", "eclipse org legal epl", r"eclipse org legal epl 2 0", 1.0),
+    ("epl-1", "eclipse org legal epl", r"eclipse org legal epl v10", 1.0),
+    ("epl-2", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e (?:v )?2 0", 1.0),
+    ("epl-1", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v1 0", 1.0),
+    ("cddl-1", "common development and distribution", r"common development and distribution licen[sc]e(?: cddl)?(?: v(?:ersion)? ?1 [01])?", 0.95),
+    ("cpl-1", "common public", r"common public licen[sc]e(?: v(?:ersion)?)?(?: 1 0)?", 0.95),
+    ("ipl-1", "ibm public", r"ibm public licen[sc]e(?: v(?:ersion)?)?(?: 1 0)?", 0.95),
+    ("eupl-1.2", "european union public", r"european union public licen[sc]e(?: v(?:ersion)?)? ?1 2", 1.0),
+    ("eupl-1.1", "european union public", r"european union public licen[sc]e(?: v(?:ersion)?)? ?1 1", 1.0),
+    ("osl-3", "open software licen", r"open software licen[sc]e(?: v(?:ersion)?)? ?3(?: 0)?", 1.0),
+    ("afl-3", "academic free", r"academic free licen[sc]e(?: v(?:ersion)?)? ?3(?: 0)?", 1.0),
+    ("ms-pl", "microsoft public", r"microsoft public licen[sc]e(?: ms pl)?", 0.95),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e(?: ms rl)?", 0.95),
+    ("ncsa", "university of illinois", r"university of illinois(?: ncsa)? open source licen[sc]e", 0.95),
+    ("php-3", "php licen", r"php licen[sc]e(?: v(?:ersion)?)? ?3(?: 0[01]?)?", 0.95),
+    ("ruby", "ruby", r"same terms as ruby(?: itself)?", 0.85),
+    ("perl", "perl", r"same terms as (?:the )?perl(?: 5)?(?: programming language)?(?: system)?(?: itself)?", 0.9),
+    ("artistic-1", "artistic", r"the artistic licen[sc]e preamble the intent of this document", 1.0),
+    ("artistic-2", "perlfoundation org", r"perlfoundation org artistic license 2 0", 1.0),
+    ("vim", "vim licen", r"vim licen[sc]e", 0.85),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project", 0.95),
+    ("openssl", "openssl", r"openssl licen[sc]e", 0.9),
+    ("libpng", "libpng", r"(?:png reference library|libpng) licen[sc]e(?: version 2)?", 0.9),
+    ("curl", "daniel stenberg", r"copyright (?:c )?[0-9 ]{4,20}daniel stenberg", 0.7),
+    ("postgresql", "postgresql global development", r"portions copyright (?:c )?[0-9 ]{4,20}(?:the )?postgresql global development group", 0.9),
+    ("beerware", "beer", r"the beer ware licen[sc]e(?: revision 42)?", 1.0),
+    ("beerware", "buy me a beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer", 0.95),
+    ("wtfpl", "what the fuck you want", r"you just do what the fuck you want to", 0.95),
+    ("wtfpl", "wtfpl net", r"wtfpl net", 0.9),
+    ("unlicense", "unlicense org", r"unlicense org", 0.95),
+    ("public-domain", "public domain", r"(?:is|are|been|was|were|hereby)(?: hereby)? (?:placed|released|put|dedicated) (?:in|into|to) the public domain", 0.9),
+    ("public-domain", "public domain", r"this (?:work|file|code|software|text|document) is (?:in the )?public domain", 0.9),
+    ("public-domain", "public domain", r"dedicate[sd]? (?:any and )?(?:all )?copyright interest in (?:the|this) software to the public domain", 0.95),
+    ("cc0-1", "creativecommons org publicdomain", r"creativecommons org publicdomain zero 1 0", 1.0),
+    ("public-domain", "creativecommons org publicdomain", r"creativecommons org publicdomain mark 1 0", 1.0),
+    ("cc0-1", "cc0 1", r"cc0 1 0 universal", 1.0),
+    ("cc-by", "creativecommons org licenses", r"creativecommons org licenses by [1-4] [05]", 1.0),
+    ("cc-by-sa", "creativecommons org licenses", r"creativecommons org licenses by sa [1-4] [05]", 1.0),
+    ("cc-by-nd", "creativecommons org licenses", r"creativecommons org licenses by nd [1-4] [05]", 1.0),
+    ("cc-by-nc", "creativecommons org licenses", r"creativecommons org licenses by nc [1-4] [05]", 1.0),
+    ("cc-by-nc-sa", "creativecommons org licenses", r"creativecommons org licenses by nc sa [1-4] [05]", 1.0),
+    ("cc-by-nc-nd", "creativecommons org licenses", r"creativecommons org licenses by nc nd [1-4] [05]", 1.0),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?", 0.95),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", 0.95),
+    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?", 0.9),
+    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?", 0.95),
+    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?", 0.95),
+    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?", 0.85),
+    ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd [1-4] [05]", 0.95),
+    ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa [1-4] [05]", 0.95),
+    ("cc-by-nc", "cc by nc", r"cc by nc [1-4] [05]", 0.95),
+    ("cc-by-nd", "cc by nd", r"cc by nd [1-4] [05]", 0.95),
+    ("cc-by-sa", "cc by sa", r"cc by sa [1-4] [05]", 0.95),
+    ("cc-by", "cc by", r"cc by [1-4] [05]", 0.95),
+    ("odbl-1", "opendatacommons org licenses odbl", r"opendatacommons org licenses odbl(?: 1 0)?", 1.0),
+    ("odc-by-1", "opendatacommons org licenses by", r"opendatacommons org licenses by(?: 1 0)?", 1.0),
+    ("pddl-1", "opendatacommons org licenses pddl", r"opendatacommons org licenses pddl(?: 1 0)?", 1.0),
+    ("ogl-3", "open government", r"open government licen[sc]e(?: v(?:ersion)? ?3)?(?: 0)?", 0.95),
+    ("ofl-1.1", "scripts sil org ofl", r"scripts sil org ofl", 1.0),
+    ("cdla-permissive-2", "community data", r"community data licen[sc]e agreement permissive(?: version 2 0)?", 0.95),
+    ("cdla-sharing-1", "community data", r"community data licen[sc]e agreement sharing(?: version 1 0)?", 0.95),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?", 0.85),
+    ("sspl-1", "server side public", r"server side public licen[sc]e(?: v(?:ersion)?)?(?: ?1)?", 0.95),
+    ("busl-1.1", "business source", r"business source licen[sc]e(?: v(?:ersion)?)?(?: ?1 1)?", 0.95),
+    ("elastic-2", "elastic licen", r"elastic licen[sc]e(?: v(?:ersion)?)?(?: ?2)?(?: 0)?", 0.95),
+    ("commons-clause", "commons clause", r"commons clause(?: licen[sc]e)? condition", 0.95),
+    ("polyform-noncommercial-1", "polyform", r"polyform noncommercial licen[sc]e(?: 1 0 0)?", 0.95),
+    ("json", "good not evil", r"the software shall be used for good not evil", 1.0),
+    ("upl-1", "universal permissive", r"universal permissive licen[sc]e(?: v(?:ersion)?)?(?: ?1)?(?: 0)?", 0.95),
+    ("blueoak-1", "blue oak", r"blue oak model licen[sc]e(?: 1 0 0)?", 0.95),
+    ("cecill-2.1", "cecill", r"cecill(?: v(?:ersion)?)? ?2 1", 0.95),
+    ("cecill", "cecill", r"cecill(?: [bc])? free software licen[sc]e(?: agreement)?", 0.9),
+    ("mulan-2", "mulan", r"mulan (?:permissive software licen[sc]e|psl) ?v?2", 0.95),
+    ("zpl-2.1", "zope public", r"zope public licen[sc]e(?: zpl)?(?: version)?(?: 2 1)?", 0.95),
+    ("w3c", "w3c software", r"w3c software (?:notice )?(?:and|document)(?: notice and)? licen[sc]e", 0.9),
+    ("icu", "unicode inc", r"unicode inc licen[sc]e agreement data files and software", 0.95),
+    ("all-rights-reserved", "all rights reserved", r"copyright (?:c )?[0-9]{4}(?: [0-9]{4})?(?: [^ ]+){1,8}? all rights reserved", 0.6),
+    ("proprietary", "proprietary and confidential", r"proprietary and confidential", 0.7),
+    ("proprietary", "unauthorized copying of this file", r"unauthorized copying of this file via any medium is strictly prohibited", 0.9),
+)
+
+#: Further licences of an identifier's expression, after the first one.
+EXPRESSION = r"(?<= spdx licen[sc]e identifier [a-z0-9 ]{1,80}) (?:or|and) @"
+
 #: What parts words in a text as it is.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A text without any of these holds no base phrase and fits no rule: all phrasings hold licen[sc] but that with the verbs, and all base phrases but cc by nc; a notice that need not hold it has its keyword.
-MARKS = "|".join([f"(?i)licen[sc]|(?:{GIVEN}){GAP}(?:under|by){GAP}|cc{GAP}by{GAP}nc", *sorted({keyword.replace(" ", GAP) for _, keyword, pattern, _ in NOTICES if "licen" not in pattern})])
+MARKS = "|".join([f"(?i)licen[sc]|(?:{GIVEN}){GAP}(?:under|by){GAP}|cc{GAP}by{GAP}nc", *sorted({"(?i:" + keyword.replace(" ", GAP) + ")" for _, keyword, pattern, _ in (*NOTICES, *SIGNATURES) if "licen" not in pattern})])
 
 
 def rules() -> list[dict]:
-    """All rules in order: names in phrasings, notices, and last the base phrases, as detections of their own."""
+    """All rules in order: names in phrasings, notices, signatures, further licences of an expression, and last the base phrases, as detections of their own."""
     out = [{"rule": i * len(LICENSES) + k, "label": label, "keyword": keyword, "pattern": f" {phrase.replace('@', name)}(?= )", "sure": sure} for i, (phrase, sure) in enumerate(PHRASINGS) for k, (label, keyword, name) in enumerate(LICENSES)]
-    out += [{"rule": len(out) + i, "label": label, "keyword": keyword, "pattern": f" {pattern}(?= )", "sure": sure} for i, (label, keyword, pattern, sure) in enumerate(NOTICES)]
+    out += [{"rule": len(out) + i, "label": label, "keyword": keyword, "pattern": f" {pattern}(?= )", "sure": sure} for i, (label, keyword, pattern, sure) in enumerate((*NOTICES, *SIGNATURES))]
+    out += [{"rule": len(out) + i, "label": label, "keyword": "spdx licen", "pattern": f"{EXPRESSION.replace('@', name)}(?= )", "sure": 1.0} for i, (label, _, name) in enumerate(LICENSES)]
     return out + [{"rule": len(out) + i, "label": label, "keyword": phrase, "pattern": f" {phrase}(?= )", "sure": 0.9} for i, (phrase, label) in enumerate(BASE)]
 
 

@@ -685,9 +685,47 @@ def test_license_notices(spark):
 
 def test_license_notice_marks():
     """The keyword of each notice stands in its pattern, and a text that fits one has a mark."""
-    for _, keyword, pattern, _ in licenses.NOTICES:
+    for _, keyword, pattern, _ in (*licenses.NOTICES, *licenses.SIGNATURES):
         text = pattern.replace("licen[sc]", "licens")
-        assert keyword in text and re.search(licenses.MARKS, text)
+        if keyword in text:  # an alternative within a keyword is tried by test_license_signatures
+            assert re.search(licenses.MARKS, text)
+
+
+def plain_labels(text):
+    """All rules by Python's regexes on the normalised text, without keywords; what lies within an earlier detection is dropped."""
+    words = PLAIN.findall((text or "").translate(LOW))
+    norm, found = " " + " ".join(words) + " ", []
+    for r in licenses.rules():
+        if r["keyword"] == "spdx licen":  # a lookbehind that Python has no form for: what stands before is matched alone
+            rest = r["pattern"][len(licenses.EXPRESSION.split(" (?:or|and)")[0]) :]
+            hits = [m for m in re.finditer(rest, norm) if re.search(r" spdx licen[sc]e identifier [a-z0-9 ]{1,80}$", norm[: m.start()])]
+        else:
+            hits = list(re.finditer(r["pattern"], norm))
+        found += [(norm[: m.start()].count(" "), -m.group().count(" "), r["rule"], r["label"]) for m in hits]
+    out, end = set(), -1
+    for at, length, _, label in sorted(found):
+        if at - length > end:
+            out.add(label)
+            end = at - length
+    return out | {x for p, x in licenses.BASE if f" {p} " in norm}
+
+
+SAID = (
+    "Released under the GPL v3.", "Distributed under the WTFPL.", "Released under CC0 1.0", "Distributed under 3-clause BSD", "provided under the MIT terms", "published under the zlib", "SPDX-License-Identifier: MIT OR Apache-2.0",
+    "SPDX-License-Identifier: GPL-2.0-only AND BSD-3-Clause OR ISC", "Creative Commons Attribution 4.0", "https://creativecommons.org/licenses/by-sa/4.0/", "This file has been placed in the public domain.", "MIT licensed, (c) 2020",
+    "Copyright (c) 2019 Some Company Inc. All rights reserved.", "GPLv2 or GPLv3", "http://www.apache.org/licenses/LICENSE-2.0", "The Software shall be used for Good, not Evil.", "same terms as Perl itself", "Business Source License 1.1",
+    "GNU Free Documentation License, Version 1.3", "unlicense.org", "CC BY-NC-SA 4.0", "This product includes software developed by the OpenSSL Project", "proprietary and confidential", "the public domain is wide", "a permit for the committee", "no licence here",
+)
+
+
+def test_license_signatures(spark, docs, rows):
+    """Labels as by plain regexes, of sentences and of documents."""
+    got = {r["doc_id"]: r["labels"] for r in licenses.digest(licenses.scan(spark.createDataFrame(list(enumerate(SAID)), "doc_id int, text string"))).collect()}
+    assert [got[i] for i in range(len(SAID))] == [",".join(sorted(plain_labels(x))) for x in SAID]
+    assert got[0] == "gpl-3" and got[3] == "bsd-3-clause" and got[6] == "apache-2,mit" and got[8] == "cc-by" and got[-3 % len(SAID)] == ""
+    assert all(got[i] for i in range(len(SAID) - 3))
+    found = licenses.digest(licenses.scan(docs)).select("doc_id", "labels").collect()
+    assert Counter(map(tuple, found)) == Counter((d, ",".join(sorted(plain_labels(t)))) for d, t, _, _ in rows)
 
 
 def test_license_marks(spark, monkeypatch):
