@@ -8,6 +8,7 @@ names and phrasings, in order of priority, then standard notices and passages of
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ SIGNATURES = (
     ("ofl-1.1", "scripts sil org ofl", r"scripts sil org ofl", 1.0),
     ("cdla-permissive-2", "community data", r"community data licen[sc]e agreement permissive(?: version 2 0)?", 0.95),
     ("cdla-sharing-1", "community data", r"community data licen[sc]e agreement sharing(?: version 1 0)?", 0.95),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?", 0.85),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m)?(?: licen[sc]e)?", 0.85),
     ("sspl-1", "server side public", r"server side public licen[sc]e(?: v(?:ersion)?)?(?: ?1)?", 0.95),
     ("busl-1.1", "business source", r"business source licen[sc]e(?: v(?:ersion)?)?(?: ?1 1)?", 0.95),
     ("elastic-2", "elastic licen", r"elastic licen[sc]e(?: v(?:ersion)?)?(?: ?2)?(?: 0)?", 0.95),
@@ -242,8 +243,10 @@ EXPRESSION = r"(?<= spdx licen[sc]e identifier [a-z0-9 ]{1,80}) (?:or|and) @"
 
 #: What parts words in a text as it is.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text without any of these holds no base phrase and fits no rule: all phrasings hold licen[sc] but that with the verbs, and all base phrases but cc by nc; a notice that need not hold it has its keyword.
-MARKS = "|".join([f"(?i)licen[sc]|(?:{GIVEN}){GAP}(?:under|by){GAP}|cc{GAP}by{GAP}nc", *sorted({"(?i:" + keyword.replace(" ", GAP) + ")" for _, keyword, pattern, _ in (*NOTICES, *SIGNATURES) if "licen" not in pattern})])
+#: A text without any of these, and of the words below, holds no base phrase and fits no rule: all phrasings hold licen[sc] but that with the verbs, and all base phrases but cc by nc.
+MARKS = f"(?i)licen[sc]|(?:{GIVEN}){GAP}(?:under|by){GAP}|cc{GAP}by{GAP}"
+#: Of each notice or signature that need not hold these, the longest word of its keyword.
+MARK_WORDS = tuple(sorted({max(keyword.split(), key=len) for _, keyword, pattern, _ in (*NOTICES, *SIGNATURES) if "licen" not in pattern and not keyword.startswith("cc by")}))
 
 
 def rules() -> list[dict]:
@@ -289,7 +292,9 @@ def scan(docs: DataFrame) -> DataFrame:
     none = "cast(array() as array<struct<start:int,length:int,rule:int,stop:int,label:string,sure:double>>)"
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("n_words", F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long"))
-    out = out.withColumn("_norm", F.when(text.rlike(MARKS), normalised(text)))
+    low = F.lower(text)  # words are looked for one by one, which is cheaper than by one expression
+    marked = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in MARK_WORDS], text.rlike(MARKS))
+    out = out.withColumn("_norm", F.when(marked, normalised(text)))
     norm = F.col("_norm")
     out = out.withColumn("base", F.when(norm.isNotNull(), F.flatten(F.transform(base, lambda b: F.transform(places(norm, b["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), b["label"].alias("label")))))).otherwise(F.expr(none_base)))
     # in order of start, then the longest, then the rule: -length sorts the longest first
