@@ -25,16 +25,13 @@ FAMILIES = len(CHARACTERS) + len(WORDS)
 
 
 def features(t: Texts, bits: int):
-    """(family, place-wise buckets, text of each place): the n-grams of each family."""
+    """(family, place-wise buckets, text of each place): the n-grams of each family, those of characters a slice at a time, so that memory doesn't follow a long text."""
     c = Characters(t)
-    found = [(first, keys) for first, _, keys in slices(c, CHARACTERS, bits)]
-    for family in range(len(CHARACTERS)):
-        keys = [k[family] for _, k in found]
-        own = [(k >> bits) + first for (first, _), k in zip(found, keys, strict=True)]
-        yield family, (np.concatenate(keys) & ((1 << bits) - 1)).astype(np.uint32), np.concatenate(own)
-    doc = t.doc_of()
+    for first, _, keys in slices(c, CHARACTERS, bits):
+        for family, k in enumerate(keys):
+            yield family, (k & ((1 << bits) - 1)).astype(np.uint32), (k >> bits) + first
     begin, _, h = words(t, NOT_SPACE)
-    own, shift = doc[begin], np.uint64(64 - bits)
+    own, shift = (np.searchsorted(t.starts, begin, "right") - 1).astype(np.int32), np.uint64(64 - bits)
     for family, n in enumerate(WORDS, len(CHARACTERS)):
         g = h[: max(0, len(h) - n + 1)].copy()
         for k in range(1, n):
@@ -45,6 +42,23 @@ def features(t: Texts, bits: int):
         yield family, (mix(g[inside]) >> shift).astype(np.uint32), own[: len(g)][inside]
 
 
+def bags_of(texts: list[bytes], bits: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each text, the buckets (of all families, ascending) and their shares of their family's places, family by family."""
+    t, counts, out = Texts(pa.record_batch({"i": pa.array(range(len(texts)))}), texts), [[] for _ in range(FAMILIES)], [[] for _ in texts]
+    for family, bucket, own in features(t, bits):
+        counts[family].append(np.unique(own.astype(np.int64) << bits | bucket, return_counts=True))
+    for family, parts in enumerate(counts):
+        key, place = np.unique(np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.int64), return_inverse=True)
+        n = np.bincount(place, np.concatenate([m for _, m in parts]), minlength=len(key)).astype(np.int64) if parts else key
+        at = np.searchsorted(key >> bits, np.arange(len(texts) + 1))
+        for d in range(len(texts)):
+            a, b = at[d], at[d + 1]
+            if a < b:
+                c = n[a:b]
+                out[d].append((((key[a:b] & ((1 << bits) - 1)) + (family << bits)).astype(np.int32), (c / c.sum()).astype(np.float32)))
+    return out
+
+
 @dataclass
 class Model:
     tables: np.ndarray  # families x 2**bits: each bucket's share of the logit of label 1
@@ -99,17 +113,14 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int], bits: int = 16, di
     if len({q for _, q in rows}) < 2:
         return Model(np.zeros((FAMILIES, 1 << bits), np.float32), prior, bits)
     bags, y = [], np.array([q for _, q in rows])
-    for k in range(0, len(rows), 200):
-        part = [text.encode() for text, _ in rows[k : k + 200]]
-        t, found = Texts(pa.record_batch({"i": pa.array(range(len(part)))}), part), [[] for _ in part]
-        for family, bucket, own in features(t, bits):
-            key, n = np.unique(own.astype(np.int64) << bits | bucket, return_counts=True)
-            own, at = key >> bits, np.searchsorted(key >> bits, np.arange(len(part) + 1))
-            for d in range(len(part)):
-                a, b = at[d], at[d + 1]
-                if a < b:
-                    c = n[a:b]
-                    found[d].append((((key[a:b] & ((1 << bits) - 1)) + (family << bits)).astype(np.int32), (c / c.sum()).astype(np.float32)))
+    begin = 0
+    while begin < len(rows):  # about a megabyte at a time: the driver's memory follows the bags, not the texts
+        part, held = [], 0
+        while begin < len(rows) and len(part) < 200 and held < 1 << 20:
+            part.append(rows[begin][0].encode())
+            held += len(part[-1])
+            begin += 1
+        found = bags_of(part, bits)
         bags += [(np.concatenate([x for x, _ in f]), np.concatenate([w for _, w in f])) if f else None for f in found]
     emb = (rng.standard_normal((FAMILIES << bits, dim)) * 0.05).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2)
@@ -148,10 +159,13 @@ def score(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3) ->
 
     def apply(batches):
         for t in chunks(batches, 1 << 20):
-            z = np.full(len(t.raw), model.bias)
+            n, total = np.zeros((FAMILIES, len(t.raw)), np.int64), np.zeros((FAMILIES, len(t.raw)))
             for family, bucket, own in features(t, model.bits):
-                n = np.bincount(own, minlength=len(z))
-                z += np.bincount(own, model.tables[family][bucket], minlength=len(z)) / np.maximum(n, 1)
+                if len(own):  # a slice is of a few texts
+                    a, b = int(own[0]), int(own[-1]) + 1
+                    n[family, a:b] += np.bincount(own - a, minlength=b - a)
+                    total[family, a:b] += np.bincount(own - a, model.tables[family][bucket], minlength=b - a)
+            z = model.bias + (total / np.maximum(n, 1)).sum(0)
             p = np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
             yield pa.RecordBatch.from_arrays([*[t.rows.column(f.name) for f in fields], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*[f.name for f in fields], "score", "predicted"])
 

@@ -319,6 +319,19 @@ def test_quality_sample(spark):
         assert by[q][:-1] == whole[:-1] and whole[-1].startswith(by[q][-1])
 
 
+def test_quality_fit_on_long_texts(rows):
+    """Memory follows neither a long text nor a part of long ones: the driver fits beside its JVM."""
+    import tracemalloc
+
+    text = " ".join(r[1] or "" for r in rows)
+    text = (text * (1 + 3_000_000 // len(text)))[:3_000_000]
+    tracemalloc.start()
+    model = quality.fit([(text, 1), (text[::-1], 0)], (1, 1), bits=12, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.tables.any() and peak < 160_000_000
+
+
 def test_quality_held_out(spark):
     r = QUERIES["op3_quality_classifier"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     assert r.where("quality = predicted").count() > 0.9 * r.count()
