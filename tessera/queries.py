@@ -189,9 +189,9 @@ QUERIES = {
     "attractive_energy": lambda s, d: _r(layout.attractive_energy(graph.symmetrise(geo(s, d)), _pos(s, d), 1.15), "energy", digits=5),
     "attractive_energy_log": lambda s, d: _r(layout.attractive_energy(graph.symmetrise(geo(s, d)), _pos(s, d), 0.0), "energy", digits=5),
     "attractive_direction": lambda s, d: _r(layout.attractive_direction(graph.symmetrise(geo(s, d)), _pos(s, d), 1.15), "g0", "g1", "g2", digits=5),
-    "repulsive_energy": lambda s, d: _r(layout.exact_repulsion(_pos(s, d), 0.9, _factor(s, d)).select("id", "energy"), "energy", digits=5),
-    "repulsive_energy_log": lambda s, d: _r(layout.exact_repulsion(_pos(s, d), 0.0, _factor(s, d)).select("id", "energy"), "energy", digits=5),
-    "repulsive_direction": lambda s, d: _r(layout.exact_repulsion(_pos(s, d), 0.9, _factor(s, d)).drop("energy"), "g0", "g1", "g2", digits=5),
+    "repulsive_energy": lambda s, d: _r(layout.exact_repulsion(_pos(s, d), 0.9, _factor(s, d), parts=("energy",), digits=5), "energy", digits=5),
+    "repulsive_energy_log": lambda s, d: _r(layout.exact_repulsion(_pos(s, d), 0.0, _factor(s, d), parts=("energy",), digits=5), "energy", digits=5),
+    "repulsive_direction": lambda s, d: _r(layout.exact_repulsion(_pos(s, d), 0.9, _factor(s, d), parts=("g0", "g1", "g2"), digits=5), "g0", "g1", "g2", digits=5),
     "total_energy": lambda s, d: _r(layout.total_energy(layout.attractive_energy(graph.symmetrise(geo(s, d)), _pos(s, d), 1.15)), "energy", digits=3),
     "cell_pyramid": _pyramid,
     "approximate_repulsion": _approximate,

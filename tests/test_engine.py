@@ -191,3 +191,21 @@ def test_exact_repulsion_of_any_size(spark):
     assert len(many) == 20_500 and few.keys() == blocks.keys()
     for i, x in few.items():
         assert np.allclose(x, blocks[i]) and np.allclose(x, many[i])
+
+
+def test_repulsion_by_cells(spark):
+    """Expansions and neighbours give what pairs give: even and crowded cells, equal points, a hub, vertices without edges, and to the decimals asked for."""
+    from pyspark.sql import functions as F
+
+    n = 1500
+    pos = layout.init_positions(spark.range(n).select("id", F.when(F.col("id") == 7, 9000.0).when(F.col("id") % 11 == 0, 0.0).otherwise(F.col("id") % 3 + 1.0).alias("deg")))
+    crowded = F.col("id") >= 1100
+    pos = pos.withColumns({c: F.when(crowded, 0.2 + F.col(c) / 40).otherwise(F.when(F.col("id") % 50 == 1, 0.25).otherwise(F.col(c))) for c in ("x0", "x1", "x2")}).localCheckpoint()
+    for r, parts in ((0.9, None), (0.0, ("energy",)), (0.9, ("g0", "g1", "g2"))):
+        want = {q["id"]: q[1:] for q in layout.exact_repulsion(pos, r, 0.01, parts=parts).collect()}
+        got = {q["id"]: q[1:] for q in layout.exact_repulsion(pos, r, 0.01, parts=parts, most=10, block=100).collect()}
+        assert want.keys() == got.keys() and len(got) == n
+        scale = max(abs(v) for x in want.values() for v in x)
+        assert max(abs(v - w) for i, x in want.items() for v, w in zip(x, got[i], strict=True)) < 1e-8 * scale
+        fixed = {q["id"]: q[1:] for q in layout.exact_repulsion(pos, r, 0.01, parts=parts, most=10, block=100, digits=5).collect()}
+        assert all(round(v, 5) == round(w, 5) for i, x in want.items() for v, w in zip(x, fixed[i], strict=True))
