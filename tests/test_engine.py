@@ -167,6 +167,18 @@ def test_distributed_layout(spark):
         assert last == {q["id"]: (q["x0"], q["x1"], q["x2"]) for q in r.positions.collect()}
 
 
+def test_layout_by_several_tasks(spark):
+    """Tasks that move a share each give what one gives, and there may be more of them than vertices to move."""
+    for edges in (planted(60, 2)[0], [(0, 1), (1, 2), (2, 2)]):
+        df = spark.createDataFrame(edges, "src long, dst long")
+        config = Config(iterations=3, snapshots=2)
+        one = layout.run_layout(df, config, share=1_000)
+        many = layout.run_layout(df, config, share=1)
+        assert many.positions.orderBy("id").collect() == one.positions.orderBy("id").collect() and one.positions.count() == len({v for e in edges for v in e})
+        assert many.snapshots.orderBy("id").collect() == one.snapshots.orderBy("id").collect()
+        assert many.metrics.drop("ms").orderBy("iter").collect() == one.metrics.drop("ms").orderBy("iter").collect()
+
+
 def test_edge_file_and_stream(spark, tmp_path):
     from tessera.streaming import edge_stream
 
