@@ -73,6 +73,21 @@ def test_pyramid_against_pairs():
     assert np.allclose(near, exact, rtol=0.05)
 
 
+def test_cells_shared_by_neighbours():
+    """Cells taken for groups of neighbours and for single points are together those of each point alone: equal points, points without mass and an incomplete group too."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.standard_normal((400, 3)), rng.random((300, 3)) * 0.01, np.repeat(rng.random((5, 3)), 9, 0)])
+    w = np.where(rng.random(len(x)) < 0.1, 0.0, 1.0 + rng.integers(0, 40, len(x)))
+    for depth in (2, 9):
+        tree = Tree(x, w, depth)
+        ids = tree.members[rng.random(len(tree.members)) < 0.4]
+        alone = {(int(i), int(c)) for i, c in zip(*tree.cells(x[ids]), strict=True)}
+        group, cell, row, open_ = tree.shared(x[ids], ids, 16)
+        row, rest = tree.cells(x[ids], row, open_)
+        pairs = [(i, int(c)) for g, c in zip(group.tolist(), cell, strict=True) for i in range(16 * g, min(16 * g + 16, len(ids)))] + [(int(i), int(c)) for i, c in zip(row, rest, strict=True)]
+        assert len(group) and len(pairs) == len(set(pairs)) and set(pairs) == alone
+
+
 def test_equal_k_distances_and_few_points(spark):
     same = spark.createDataFrame([(i, 0.0, 0.0) for i in range(10)], "id long, x0 double, x1 double")
     row = density.elbow_eps(density.curve(density.k_distance(same))).first()
